@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from wordtide.llm import fertility
+from wordtide.llm import fertility, toxicity
 
-QUERIES = {"op5_tokeniser_fertility": fertility.query}
+QUERIES = {
+    "op4_toxic_segments": toxicity.query,
+    "op5_tokeniser_fertility": fertility.query,
+}
 ORACLES: dict[str, str] = {}
