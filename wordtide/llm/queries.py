@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from wordtide.llm import fertility, toxicity
+from wordtide.llm import chosen_path, fertility, pieces, toxicity
 
 QUERIES = {
     "op4_toxic_segments": toxicity.query,
     "op5_tokeniser_fertility": fertility.query,
+    "op6_chosen_path_join": chosen_path.query,
+    "op7_shared_prefix_viterbi": pieces.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chosen_path_join": chosen_path.ORACLE}
