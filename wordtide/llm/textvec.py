@@ -105,6 +105,9 @@ class Units:
     hash: np.ndarray  # uint64
 
     def bytes_at(self, which: np.ndarray) -> list[bytes]:
+        if len(which) < 1000:
+            data = self.chunk.data
+            return [data[a:b].tobytes() for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist())]
         raw = self.chunk.data.tobytes()
         return [raw[a:b] for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist())]
 
