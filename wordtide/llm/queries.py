@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordtide.llm import chat, chosen_path, fertility, html_text, latent, pieces, shards, toxicity, wavelet
+from wordtide.llm import chat, chosen_path, fertility, html_text, latent, licences, pieces, shards, toxicity, wavelet
 
 QUERIES = {
     "op1_latent_decontamination": latent.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_tokeniser_fertility": fertility.query,
     "op6_chosen_path_join": chosen_path.query,
     "op7_shared_prefix_viterbi": pieces.query,
+    "op8_licence_paragraphs": licences.query,
     "op9_wavelet_ids": wavelet.query,
     "op10_chat_segments": chat.query,
 }
