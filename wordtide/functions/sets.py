@@ -96,7 +96,7 @@ def equals(a: Column, b: Column) -> Column:
 
 def contains(a: Column, x: Column) -> Column:
     """False for null."""
-    return F.coalesce(F.array_contains(_s(a), x), F.lit(False))
+    return F.coalesce(F.array_contains(_s(a), x.cast("string")), F.lit(False))
 
 
 def size(a: Column) -> Column:

@@ -54,7 +54,7 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         out = out.unionByName(read("text").select(F.url_decode(F.regexp_replace(path, r"\+", "%2B")).alias("path"), F.col("value").alias("line")))
     if marked:
         paths = sorted(marked)
-        text = F.regexp_replace(F.decode("content", F.lit("UTF-16")), "^\\uFEFF", "")
+        text = F.regexp_replace(F.decode("content", "UTF-16"), "^\\uFEFF", "")
         out = out.unionByName(read("binaryFile").select(F.url_decode(F.regexp_replace(path, r"\+", "%2B")).alias("path"), F.explode(F.split(text, r"\r\n|\r|\n")).alias("line")))
     return out
 

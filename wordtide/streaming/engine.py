@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordtide.cluster import ship
 from wordtide.functions.text import Tokenizer, path_key_of, space_tokens
 from wordtide.operators.subscriptions import Registry
 from wordtide.plans.store import NAMES, Store
@@ -40,6 +41,7 @@ class Engine:
     def start(self) -> "Engine":
         """Begins to follow the folders. Without it, `refresh` takes changes over on demand."""
         if self._query is None:
+            ship(self.spark)
             self.spark.dataSource.register(live.FolderChanges)
             stream = self.spark.readStream.format("folder_changes").option("folders", self._folders).option("state", f"{self.root}/listings").load()
             self._query = stream.writeStream.foreachBatch(lambda df, n: self.apply(df, n)).option("checkpointLocation", f"{self.root}/checkpoint").trigger(processingTime=self.interval).start()
