@@ -166,7 +166,14 @@ class WordTable:
 
     def of(self, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(values, start by distinct word, length by distinct word, distinct word of each unit)."""
-        keys, at, inverse = np.unique(u.hash, return_index=True, return_inverse=True)
+        order = np.argsort(u.hash)
+        keys = u.hash[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(new)
+        keys, at = keys[first], order[first]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
         if len(self.keys) + len(keys) > self.limit:
             self._clear()
         pos = np.searchsorted(self.keys, keys)
@@ -194,6 +201,8 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     total = int(length.sum())
     if not total:
         return flat[:0]
-    ends = np.cumsum(length)
-    at = np.arange(total, dtype=np.int64) + np.repeat(start - (ends - length), length)
+    kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+    shift = (start - (np.cumsum(length) - length)).astype(kind)
+    at = np.repeat(shift, length)
+    at += np.arange(total, dtype=kind)
     return flat[at]

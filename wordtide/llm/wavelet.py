@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordtide.llm.common import Scratch, table
-from wordtide.llm.textvec import WordTable, chunks, gather
+from wordtide.llm.textvec import Chunk, Units, WordTable, chunks, gather, mix
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 1
@@ -69,12 +69,13 @@ def _blocks(raw: bytes) -> tuple[list[bytes], list[int]]:
 def build(tokens: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """The file of some documents: their tokens end to end (below 2**32), ids and token counts."""
     n = len(tokens)
-    alphabet, ranks, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    order = np.lexsort((alphabet, -counts))
-    place = np.empty(len(order), np.uint32)
-    place[order] = np.arange(len(order), dtype=np.uint32)
+    counts = np.bincount(tokens) if n else np.zeros(0, np.int64)
+    alphabet = np.flatnonzero(counts)
+    order = np.lexsort((alphabet, -counts[alphabet]))
     wide = np.uint16 if len(alphabet) <= 65536 else np.uint32
-    seq = place[ranks].astype(wide)
+    place = np.zeros(len(counts), wide)
+    place[alphabet[order]] = np.arange(len(order), dtype=wide)
+    seq = place[tokens]
     levels = max(1, int(len(alphabet) - 1).bit_length()) if n else 0
     body: list[bytes] = []
     planes = []
@@ -206,62 +207,118 @@ class WaveletFile:
 
 # ---------------------------------------------------------------- encoding
 
-_loaded: dict[str, WordTable] = {}
-_PUNCTUATION = frozenset(".,!?;:")
+_loaded: dict[str, tuple[_Encoder, WordTable]] = {}
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b".,!?;:")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 
 
-def _word_ids(path: str) -> WordTable:
-    """Token ids by word. Text is cut at ASCII white space only, across which no token reaches."""
-    if path not in _loaded:
+def _byte_letters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary shows each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = dict(zip(plain, map(chr, plain)))
+    shown |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return shown
+
+
+class _Encoder:
+    """Token ids of words by the tokenizers library.
+
+    Words of Latin letters alone need none of the vocabulary's normaliser and splitting; many of
+    them go to its merge model in one call. All other words take the whole way, one by one.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        model = Tokenizer.from_file(path)
-        spec = json.loads(model.to_str())
+        self.model = Tokenizer.from_file(path)
+        spec = json.loads(self.model.to_str())
+        self.dtype = np.uint16 if self.model.get_vocab_size() <= 65536 else np.uint32
         steps = spec.get("normalizer") or {}
-        kinds = [s.get("type") for s in steps.get("normalizers", [steps])]
-        lowers = "Lowercase" in kinds
-        ids_of: dict[str, list[int]] = {}
-
-        def encode(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-
-        marks = {p: x for p, x in zip(_PUNCTUATION, encode(list(_PUNCTUATION)))} if lowers else {}
-
-        def compute(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            plan = []
-            for w in words:
-                tail = None
-                if lowers and b"<" not in w:
-                    # the vocabulary folds case and splits letters from other characters: one entry serves all forms
-                    t = w.lower().decode("utf-8", "replace")
-                    if t[-1] in marks and t[:-1].isalpha():
-                        t, tail = t[:-1], marks[t[-1]]
-                else:
-                    t = w.decode("utf-8", "replace")
-                plan.append((t, tail))
-            new = list(dict.fromkeys(t for t, _ in plan if t not in ids_of))
-            if len(ids_of) + len(new) > 500_000:
-                ids_of.clear()
-                new = list(dict.fromkeys(t for t, _ in plan))
-            ids_of.update(zip(new, encode(new)))
-            each = [ids_of[t] if tail is None else ids_of[t] + tail for t, tail in plan]
-            return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int32)
-
-        _loaded[path] = WordTable(compute, 1_000_000)
+        self.folds = "Lowercase" in [s.get("type") for s in steps.get("normalizers", [steps])]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.bare = None
+        if self.folds and suffix:
+            spec |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
+            self.bare = Tokenizer.from_str(json.dumps(spec))
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.closes = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.closes[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            shown = _byte_letters()
+            self.shown = {i: "".join(shown[b] for b in chr(i).encode()) for i in range(128, 256)}
+            tests = ["the", "straße", "élève", "zzyzx", "naïveté", "abcdefghijklmnop"]
+            flat, lens = self._letters(tests)
+            if [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] != [e.ids for e in self.model.encode_batch_fast(tests, add_special_tokens=False)]:
+                self.bare = None
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        lines = [t if t.isascii() else t.translate(self.shown) for t in lines]
+        flat = np.array([i for e in self.bare.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], self.dtype)
+        return flat, np.diff(np.flatnonzero(self.closes[flat]), prepend=-1)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [(w.lower() if self.folds and b"<" not in w else w).decode("utf-8", "replace") for w in words]
+        quick = [self.bare is not None and t.isalpha() and (t.isascii() or max(t) <= "\xff") for t in texts]
+        easy = [t.lower() for t, q in zip(texts, quick) if q]
+        flat, lens = self._letters(easy) if easy else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        if len(lens) != len(easy):  # a word that the merge model did not close: take the whole way
+            quick, flat, lens = [False] * len(texts), flat[:0], lens[:0]
+        rest = [e.ids for e in self.model.encode_batch_fast([t for t, q in zip(texts, quick) if not q], add_special_tokens=False)]
+        flat = np.concatenate((flat, np.array([i for x in rest for i in x], self.dtype)))
+        lens = np.concatenate((lens, np.array([len(x) for x in rest], np.int64)))
+        q = np.array(quick, bool)
+        order = np.empty(len(texts), np.int64)
+        order[q], order[~q] = np.arange(q.sum()), np.arange(q.sum(), len(texts))
+        start = np.cumsum(lens) - lens
+        return gather(flat, start[order], lens[order]), lens[order]
+
+
+def _word_ids(path: str) -> tuple[_Encoder, WordTable]:
+    if path not in _loaded:
+        _loaded[path] = (e := _Encoder(path), WordTable(e, 1_200_000))
     return _loaded[path]
 
 
+def _units(c: Chunk, folds: bool) -> Units:
+    """Words, cut at ASCII white space, across which no token reaches. Where the vocabulary folds case,
+    one entry serves all cases, and a mark after Latin letters, which it splits off, is a unit of its own."""
+    u = c.words()
+    if not folds or not len(u.starts):
+        return u
+    d = c.data
+    letter = _LETTER[d]
+    if len(d) > 1:
+        two = (d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] != 0x97) & (d[1:] != 0xB7)
+        letter[:-1] |= two
+        letter[1:] |= two
+    sums = np.concatenate(([0], np.cumsum(letter)))
+    last = u.ends - 1
+    cut = (last > u.starts) & _PUNCTUATION[d[last]] & (sums[last] - sums[u.starts] == last - u.starts)
+    again = np.repeat(np.arange(len(cut)), 1 + cut)
+    second = np.concatenate(([False], again[1:] == again[:-1]))
+    starts = np.where(second, u.ends[again] - 1, u.starts[again])
+    ends = np.where(cut[again] & ~second, u.ends[again] - 1, u.ends[again])
+    lower = c.units(starts, ends, lower=True)
+    open_ = np.concatenate(([0], np.cumsum(d == 60)))
+    special = np.flatnonzero(open_[ends] > open_[starts])  # may hold special tokens, which are told apart by case
+    if len(special):
+        lower.hash[special] = mix(c.units(starts[special], ends[special]).hash ^ np.uint64(0x3C3C))
+    return lower
+
+
 def encode(text: pa.Array, path: str, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids end to end, number of ids of each text with its end id), in order."""
-    known = _word_ids(path)
+    encoder, known = _word_ids(path)
     for c in chunks(text):
-        u = c.words()
+        u = _units(c, encoder.folds)
         flat, start, length, word = known.of(u)
         each = length[word].astype(np.int64)
         n = np.bincount(u.doc, weights=each, minlength=c.texts).astype(np.int64)
         ends = np.cumsum(n + 1) - 1
-        ids = np.full(int(n.sum()) + c.texts, end_id, np.uint32)
+        ids = np.full(int(n.sum()) + c.texts, end_id, encoder.dtype)
         inner = np.ones(len(ids), bool)
         inner[ends] = False
         ids[inner] = gather(flat, start[word], each)
@@ -276,7 +333,7 @@ def _encoded(text: Column, doc_id: Column, layout: Layout, bounds: list[int]) ->
         out, crc = [], []
         for ids, n in encode(text, layout.vocabulary, layout.end_id):
             raw, cut = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(n))).tolist()
-            short = ids.astype("<u2").tobytes() if ids.max(initial=0) < 65536 else None
+            short = ids.astype("<u2").tobytes() if ids.dtype == np.uint16 else None
             for a, b in zip(cut[:-1], cut[1:]):
                 crc.append(zlib.crc32(raw[4 * a : 4 * b]))
                 out.append(b"\x02" + short[2 * a : 2 * b] if short is not None else b"\x04" + raw[4 * a : 4 * b])
@@ -309,7 +366,7 @@ def _write(folder: str):
                 return
             name = f"{folder}/{state['range']:08d}-{state['k']:05d}.wvm"
             lengths = np.array([len(t) for t in state["tokens"]], np.int64)
-            put(name, build(np.concatenate(state["tokens"]).astype(np.uint32), np.array(state["ids"], np.int64), lengths), attempt)
+            put(name, build(np.concatenate(state["tokens"]), np.array(state["ids"], np.int64), lengths), attempt)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([state["range"]], pa.int32()), pa.array([state["k"]], pa.int32()), pa.array([len(lengths)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], names=["path", "range", "file", "n_docs", "n_tokens"])
             state.update(k=state["k"] + 1, ids=[], tokens=[], held=0)
 
