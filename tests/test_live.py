@@ -3,7 +3,7 @@ import threading
 import time
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from wordtide import repl
 from wordtide.functions.text import path_key_of
