@@ -180,11 +180,14 @@ def _across(percent: int, agree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a_out, b_out = [], []
-            for members in batch.column("members").to_pylist():
-                rep, comp, n = (np.array([m[k] for m in members], np.int64) for k in ("rep", "component", "n"))
-                side = np.array([m["side"] for m in members], np.int8)
-                sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint16).reshape(-1, SLOTS)
-                for i in range(len(rep) - 1):
+            flat, cut = batch.column("members").flatten(), batch.column("members").offsets.to_numpy()
+            cut = cut - cut[0] if len(cut) else cut
+            every = [flat.field(k).to_numpy() for k in ("rep", "component", "n", "side")]
+            signed = _signatures(flat.field("sig"))
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                rep, comp, n, side = (x[lo:hi] for x in every)
+                sig = signed[lo:hi]
+                for i in range(hi - lo - 1):
                     r = slice(i + 1, None)
                     ok = (comp[r] != comp[i]) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i])) & ((side[r] != side[i]) | (side[i] == 2))
                     if ok.any():
@@ -234,7 +237,7 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, scratch: Scratch
     a = texts.select(F.col("rep").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("text").alias("ta"))
     b = texts.select(F.col("rep").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("text").alias("tb"))
     found = pairs.join(b, "b").join(a, "a").select("a", "b", "a1", "a2", "b1", "b2", "ta", "tb")
-    links = scratch.keep(found.mapInArrow(_confirm(join.percent), "a long, b long"), "links")
+    links = scratch.keep(found.mapInArrow(_confirm(join.percent), "a long, b long"), "links", 250)
     scratch.drop(ids, need, texts)
     return links
 
@@ -283,7 +286,7 @@ def groups(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFra
     across = found[0]
     for f in found[1:]:
         across = across.unionByName(f)
-    across = scratch.keep(across.distinct(), "across")
+    across = scratch.keep(across.distinct(), "across", 250)
     if not across.isEmpty():
         more = _verify(docs, reps, across, scratch, join)
         if not more.isEmpty():

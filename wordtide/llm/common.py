@@ -9,11 +9,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordtide.cluster import ship
+
 #: Id sets of at most so many rows (a long each, about 16 bytes in a hashed relation) are broadcast.
 BROADCAST_IDS = 2_000_000
 
 
+#: Rows of an Arrow batch where the session sets nothing else: whole texts may be long.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the operators need of a session: the package on the workers' path, batches of few texts."""
+    ship(spark)
+    if spark.conf.get(_ROWS, None) is None:
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +49,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/wordtide-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
@@ -42,9 +58,16 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+    def keep(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """df, written; batch_rows: the rows of its Arrow batches, where a row is large."""
+        path, before = self.path(name), self.spark.conf.get(_ROWS, None)
+        try:
+            if batch_rows is not None:
+                self.spark.conf.set(_ROWS, batch_rows)
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if batch_rows is not None:
+                self.spark.conf.set(_ROWS, before) if before is not None else self.spark.conf.unset(_ROWS)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame | str) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordtide.llm.common import clear_name, table
-from wordtide.llm.textvec import SPACE, Chunk, Units, WordTable, chunks, gather, mix, windows3
+from wordtide.llm.textvec import SPACE, Chunk, Units, WordTable, cached, chunks, gather, mix, windows3
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MIN_WORDS = 50
@@ -97,13 +97,8 @@ class _Pieces:
         return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int32)
 
 
-_known: dict[str, tuple[_Pieces, WordTable]] = {}
-
-
 def _vocabulary(path: str) -> tuple[_Pieces, WordTable]:
-    if path not in _known:
-        _known[path] = (p := _Pieces(path), WordTable(p))
-    return _known[path]
+    return cached(("fertility", path), lambda: (p := _Pieces(path), WordTable(p)))
 
 
 def base_counts(c: Chunk, u: Units) -> dict[str, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordtide.llm.common import table
-from wordtide.llm.textvec import WordTable, chunks
+from wordtide.llm.textvec import WordTable, cached, chunks
 
 #: Public notices: the sentences by which texts and programs name their licences.
 NOTICES: dict[str, tuple[str, ...]] = {
@@ -225,17 +225,17 @@ def classify(paragraph: str, m: Model) -> tuple[str, str | None, float, float]:
 
 
 FOUND = "doc_id long, first_line long, last_line long, label string, family string, probability double, likeness double"
-_tables: dict[str, WordTable] = {}
+
+
+def _cues(m: Model) -> WordTable:
+    cue = lambda w: any(x.encode() in m.cues for x in words_of(w.decode("utf-8", "replace")))
+    return cached(("licences", m.key), lambda: WordTable(lambda ws: (np.array([cue(w) for w in ws], bool), np.ones(len(ws), np.int32))))
 
 
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        if m.key not in _tables:
-            _tables.clear()
-            cue = lambda w: any(x.encode() in m.cues for x in words_of(w.decode("utf-8", "replace")))
-            _tables[m.key] = WordTable(lambda ws: (np.array([cue(w) for w in ws], bool), np.ones(len(ws), np.int32)))
-        known, told = _tables[m.key], {}
+        known, told = _cues(m), {}
         for b in batches:
             ids, out = b.column("doc_id"), []
             for c in chunks(b.column("text")):

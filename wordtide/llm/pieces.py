@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordtide.llm.common import table
-from wordtide.llm.textvec import Chunk, Units, WordTable, chunks, gather, mix
+from wordtide.llm.textvec import Chunk, Units, WordTable, cached, chunks, gather, mix
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -228,11 +228,8 @@ class Vocabulary:
             self._piece.append(piece)
 
 
-_loaded: dict[str, tuple[Vocabulary, WordTable]] = {}
-
-
 def vocabulary(path: str) -> tuple[Vocabulary, WordTable]:
-    if path not in _loaded:
+    def make() -> tuple[Vocabulary, WordTable]:
         v = Vocabulary.load(path)
 
         def compute(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +240,9 @@ def vocabulary(path: str) -> tuple[Vocabulary, WordTable]:
                 ids[i] = x
             return np.array([p for x in ids for p in x], np.int32), np.array([len(x) for x in ids], np.int32)
 
-        _loaded[path] = (v, WordTable(compute))
-    return _loaded[path]
+        return v, WordTable(compute)
+
+    return cached(("pieces", path), make)
 
 
 class _Marked(Units):
@@ -307,7 +305,8 @@ def _decode(v: Vocabulary, ids: np.ndarray, cut: np.ndarray) -> list[bytes]:
 
 
 def encoded(text: Column, path: str = VOCABULARY) -> Column:
-    """A struct (ids, n_pieces, ids_crc32, decoded_ok) for each text; decoded_ok: decoding gives the text."""
+    """A struct (ids, n_pieces, ids_crc32, decoded_ok) for each text; decoded_ok: decoding gives the text,
+    with U+2581 in it as the space that the model takes it for."""
 
     @F.arrow_udf(TYPE)
     def pieces(text: pa.Array) -> pa.Array:

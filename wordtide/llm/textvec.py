@@ -8,7 +8,9 @@ and of those only the ones that its worker has not met lately (`WordTable`).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -195,6 +197,25 @@ class WordTable:
         return self.flat, self.start[pos], self.len[pos], inverse
 
 
+_cached: dict[Hashable, object] = {}
+
+
+def cached(key: Hashable, make: Callable[[], object]):
+    """What a worker keeps for its next tasks: one thing at a time.
+
+    A worker serves one operator after another; what the one before kept is given back first.
+    """
+    if key not in _cached:
+        _cached.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+        _cached[key] = make()
+    return _cached[key]
+
+
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """flat[s:s+n] of each (s, n), end to end."""
     length = length.astype(np.int64)

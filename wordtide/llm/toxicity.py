@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordtide.llm.common import clear_name, table
-from wordtide.llm.textvec import WordTable, chunks
+from wordtide.llm.textvec import WordTable, cached, chunks
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
@@ -112,14 +112,9 @@ def evidence(found: list[tuple[int, int, float]], n: int, lam: float) -> float:
     return sum(max(0.0, lam * s - base) for _, _, s in found)
 
 
-_tables: dict[str, WordTable] = {}
-
-
 def _word_table(model: Model) -> WordTable:
-    if model.key not in _tables:
-        _tables.clear()
-        _tables[model.key] = WordTable(lambda ws: (np.array([word_weight(w, model.weights, model.gap) for w in ws], np.float64), np.ones(len(ws), np.int32)))
-    return _tables[model.key]
+    weigh = lambda ws: (np.array([word_weight(w, model.weights, model.gap) for w in ws], np.float32), np.ones(len(ws), np.int32))
+    return cached(("toxicity", model.key), lambda: WordTable(weigh))
 
 
 def _found(text: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
