@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordtide.llm.common import Scratch, table
-from wordtide.llm.textvec import Chunk, Units, WordTable, chunks, gather, mix
+from wordtide.llm.textvec import Chunk, Units, WordTable, cached, chunks, gather, mix
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 1
@@ -87,7 +87,7 @@ def build(tokens: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes
         body += blocks
         planes.append({"zeros": n - int(ones.sum()), "sizes": sizes, "ones": np.concatenate(([0], np.cumsum(ones)[:-1])).tolist()})
         if level < levels - 1:
-            seq = np.concatenate((seq[~bit], seq[bit]))
+            seq = np.concatenate((seq[np.flatnonzero(~bit)], seq[np.flatnonzero(bit)]))  # twice as fast as by mask
     extra = [np.ascontiguousarray(x, t).tobytes() for x, t in ((alphabet[order], "<u4"), (doc_ids, "<i8"), (lengths, "<i8"))]
     extra = [zstandard.ZstdCompressor(level=3).compress(x) for x in extra]
     head = zstandard.ZstdCompressor(level=3).compress(json.dumps({"n": n, "docs": len(doc_ids), "levels": levels, "planes": planes, "extra": [len(x) for x in extra]}).encode())
@@ -199,15 +199,14 @@ class WaveletFile:
         for level in reversed(range(self.levels)):
             bit = np.unpackbits(np.concatenate([self._block(level, k) for k in range(len(self._where[level]))]), count=self.n).view(bool)
             back = np.empty_like(values)
-            back[~bit] = values[: self.zeros[level]]
-            back[bit] = values[self.zeros[level] :] | values.dtype.type(1 << (self.levels - 1 - level))
+            back[np.flatnonzero(~bit)] = values[: self.zeros[level]]
+            back[np.flatnonzero(bit)] = values[self.zeros[level] :] | values.dtype.type(1 << (self.levels - 1 - level))
             values = back
         return self.alphabet[values]
 
 
 # ---------------------------------------------------------------- encoding
 
-_loaded: dict[str, tuple[_Encoder, WordTable]] = {}
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b".,!?;:")] = True
 _LETTER = np.zeros(256, bool)
@@ -277,9 +276,7 @@ class _Encoder:
 
 
 def _word_ids(path: str) -> tuple[_Encoder, WordTable]:
-    if path not in _loaded:
-        _loaded[path] = (e := _Encoder(path), WordTable(e, 1_200_000))
-    return _loaded[path]
+    return cached(("ids", path), lambda: (e := _Encoder(path), WordTable(e, 1_200_000)))
 
 
 def _units(c: Chunk, folds: bool) -> Units:
