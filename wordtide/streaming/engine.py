@@ -24,14 +24,25 @@ from wordtide.sources import files, live
 from wordtide.streaming.tasks import TaskQueue
 
 
+def _default_root(spark: SparkSession) -> str:
+    """A folder in the cluster's shared one; a local one only where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return tempfile.mkdtemp(prefix="wordtide-index-")
+    if not shared.startswith(("file:", "/")):
+        raise ValueError("name a root that driver and executors see as a path: folders are watched through it")
+    return f"{shared.removeprefix('file://').rstrip('/')}/wordtide-index-{uuid.uuid4().hex[:12]}"
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None, tokenizer: Tokenizer = space_tokens, interval: str = "0 seconds", buckets: int = 4, compact_after: int = 40):
         self.spark, self.tokenizer, self.interval, self.compact_after = spark, tokenizer, interval, compact_after
-        self.root = root or tempfile.mkdtemp(prefix="wordtide-index-")
+        self.root = root or _default_root(spark)
         self.store = Store(spark, f"{self.root}/store", buckets)
         self.registry = Registry()
         self.tasks = TaskQueue()
         self._write = threading.RLock()
+        os.makedirs(self.root, exist_ok=True)
         self._folders = os.path.join(self.root, "folders.json")
         self._save_folders()
         self._query = None
