@@ -350,7 +350,12 @@ def _write(folder: str):
         store.create_dir(os.path.dirname(at), recursive=True)
         with store.open_output_stream(f"{at}.{token}.tmp") as f:
             f.write(raw)
-        store.move(f"{at}.{token}.tmp", at)
+        try:
+            store.move(f"{at}.{token}.tmp", at)
+        except OSError:  # some file systems do not replace: an earlier attempt wrote the same bytes
+            if store.get_file_info(at).size != len(raw):
+                raise
+            store.delete_file(f"{at}.{token}.tmp")
 
     def run(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
