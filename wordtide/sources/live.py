@@ -111,7 +111,7 @@ class FolderReader(SimpleDataSourceStreamReader):
         if not found:
             return iter(()), start
         self.state.save(n + 1, new, found)
-        return self._rows(n + 1), {"listing": n + 1}
+        return iter(list(self._rows(n + 1))), {"listing": n + 1}  # Spark copies the iterator: no generator
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         for n in range(start["listing"] + 1, end["listing"] + 1):
