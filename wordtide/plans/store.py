@@ -118,7 +118,7 @@ class Store:
         rows = postings.select("token", "rev", self.bucket(F.col("token")).alias("bucket"))
         # a hot token's rows spread over tasks: they are parted by token range and revision, not by bucket alone
         rows = rows.repartitionByRange("bucket", "token", "rev").sortWithinPartitions("bucket", "token", "rev")
-        rows.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#token", "true").parquet(f"{self.root}/postings/{segment}")
+        rows.write.partitionBy("bucket").parquet(f"{self.root}/postings/{segment}")
 
     def compact(self) -> int:
         """Rewrites the live part as one segment each."""
