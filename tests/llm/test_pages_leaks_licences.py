@@ -117,6 +117,48 @@ def test_answer_check():
     assert latent.answer_of("A b c. The answer is four.") == ["the", "answer", "is", "four"] and latent.answer_of("q", "Forty two") == ["forty", "two"] and latent.answer_of(None) == []
 
 
+def paraphrase_fixture(seed=8):
+    """Items of one sentence (even ids) and with an answer (odd); documents with paraphrases that keep 50 to 80 % of the words."""
+    rnd = random.Random(seed)
+    words = ["the", "of", "and", "to", "in"] * 1000 + ["w" + "".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(15_000)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [(i, text(rnd.randint(18, 60)) + (". " + text(8) if i % 2 else ".")) for i in range(40)]
+    docs, want = [], {}
+    for i in range(600):
+        body = text(rnd.randint(5, 400)).split()
+        if i % 2 == 0:
+            k = rnd.randrange(40)
+            leak = latent.words_of(items[k][1])
+            telling = [j for j, w in enumerate(leak) if w[0] == "w"]
+            gone = set(rnd.sample(range(len(leak)), int(len(leak) * rnd.uniform(0.2, 0.5))))
+            answer = [j for j in telling if j >= len(leak) - 8] if k % 2 else []
+            share = 1 - len(gone) / len(leak)
+            if sum(j not in gone for j in telling) >= 0.55 * len(telling) and sum(j not in gone for j in answer) >= 0.65 * len(answer):
+                want[i, k] = share
+            at = rnd.randrange(len(body))
+            body[at:at] = [f"other{i}x{j}" if j in gone else w for j, w in enumerate(leak)]
+        docs.append((i, " ".join(body)))
+    return docs, items, want
+
+
+def test_paraphrases_that_keep_half_of_the_words(spark):
+    docs, items, want = paraphrase_fixture()
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in latent.leaks(spark, df, bench, Scratch(spark, "t")).collect()}
+    for odd in (0, 1):
+        for low, least in ((0.5, 0.7), (0.6, 0.75), (0.7, 0.9)):
+            band = {p for p, x in want.items() if low <= x < low + 0.1 and p[1] % 2 == odd}
+            assert len(band & got) >= least * len(band)
+    assert all(d % 2 == 0 for d, _ in got)
+
+
+def test_without_an_answer_all_words_decide():
+    s = latent.Search()
+    item = [f"i{k}" for k in range(20)]
+    assert latent.check(item, item, [], item[:13] + ["z"] * 5, s)[1] == "paraphrase"
+    assert latent.check(item, item[:10], [], item[8:], s)[1] is None  # too few telling words
+
+
 def test_leaks_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "one two three"), (5, " ".join(f"word{i % 977}x{i}" for i in range(100, 140))), (None, "repeated row")], "item_id long, text string")
     got = rows(latent.leaks(spark, odd, bench, Scratch(spark, "t")), "doc_id", "item_id")
