@@ -1,7 +1,10 @@
+import math
 import random
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import rows
 
@@ -86,6 +89,24 @@ def test_recall_is_counted(spark):
     assert (1 - 0.85**j.depth) ** j.trees < 1e-6 and j.least_set == 6
 
 
+def test_trees_are_independent():
+    """Of 160,000 pairs at the threshold fewer are lost than by trees that share minwise values (30)."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    j, n, step = Join(), 160_000, 20_000
+    lost = 0
+    for _ in range(0, n, step):
+        a = rng.integers(0, 2**16, (step, chosen_path.SLOTS), dtype=np.uint16)
+        b = np.where(rng.random(a.shape) < 0.85, a, rng.integers(0, 2**16, a.shape, dtype=np.uint16))
+        walks = [list(chosen_path._paths(j.trees, j.depth)([pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in s]), pa.array(range(step))], names=["sig", "rep"])])) for s in (a, b)]
+        met = np.zeros(step, bool)
+        for x, y in zip(*walks):
+            met |= x.column("node").to_numpy() == y.column("node").to_numpy()
+        lost += int((~met).sum())
+    assert lost <= 3
+    tail = sum(math.comb(chosen_path.SLOTS, k) * 0.85**k * 0.15 ** (chosen_path.SLOTS - k) for k in range(j.agree))
+    assert tail < 1e-6
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(5, 5), (300, 300)]

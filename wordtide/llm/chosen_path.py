@@ -5,10 +5,11 @@ linked if 100 * |A and B| >= 85 * |A or B|, confirmed on the full sets.  How pai
 
 * Equal sets are one class at once (a group-by on a 128-bit hash of the set), so any number of
   copies is one node of the join.
-* *Paths.* In each of `trees` independent trees a class walks `depth` steps: the path so far
-  chooses a coordinate, the class's minwise token there extends the path.  Two classes of
-  similarity J share a path of one tree with probability J**depth, so at J = 0.85 a pair is lost
-  by all trees with probability (1 - 0.85**depth)**trees: 7e-7 by default.
+* *Paths.* In each of `trees` trees a class walks `depth` steps: the path so far chooses a
+  coordinate among the tree's own POOL minwise values, the class's token there extends the path.
+  No tree uses a value of another, so they are independent: two classes of similarity J share a
+  path of one tree with probability J**depth, and at J = 0.85 a pair is lost by all trees with
+  probability (1 - 0.85**depth)**trees: 7.7e-7 by default.
 * *Stars first.* Every node ties its members to its least member; the pairs whose signatures allow
   it are verified and the links contracted to components.  That is linear in the members, so a
   node of a million near copies is no quadratic task.
@@ -16,8 +17,8 @@ linked if 100 * |A and B| >= 85 * |A or B|, confirmed on the full sets.  How pai
   Nodes of at most `leaf` members compare all of those; larger ones branch on, `branches` children
   for each member, down to `deepest`; what is still larger there is compared in blocks, all of it.
 
-Signatures only rule out: a pair at J >= 0.85 that agrees in fewer than `agree` of 64 minwise
-values has probability below 1e-6.  All groups are pre-aggregated or written to the shared folder;
+Signatures only rule out: a pair at J >= 0.85 that agrees in fewer than `agree` of 192 minwise
+values has probability below 1e-7.  All groups are pre-aggregated or written to the shared folder;
 no group is collected into one task beyond `leaf` members.
 
 Defined results: null texts and texts without a word have no shingle and are linked with nothing;
@@ -39,7 +40,8 @@ from wordtide.llm.common import Scratch, among, table
 from wordtide.llm.components import components
 from wordtide.llm.textvec import chunks, mix, windows3
 
-SLOTS = 64
+POOL = 8  # minwise values of each tree
+SLOTS = 24 * POOL
 _U = np.uint64
 _SLOT_XOR = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, SLOTS, dtype=np.uint64)
 _SLOT_MUL = np.random.Generator(np.random.PCG64(12)).integers(1, 2**63, SLOTS, dtype=np.uint64) | _U(1)
@@ -53,7 +55,11 @@ class Join:
     branches: int = 2
     deepest: int = 12
     leaf: int = 200
-    agree: int = 40
+    agree: int = 135
+
+    def __post_init__(self) -> None:
+        if self.trees * POOL > SLOTS or self.depth > POOL:
+            raise ValueError(f"at most {SLOTS // POOL} trees of depth {POOL} have minwise values of their own")
 
     @property
     def least_set(self) -> int:
@@ -120,10 +126,11 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 def _step(path: np.ndarray, sig: np.ndarray, used: np.ndarray, turn: int) -> np.ndarray:
     """One step of each path: the path chooses an unused slot, the token there extends it."""
-    slot = (mix(path + _U(turn * 7919 + 1)) % _U(SLOTS)).astype(np.int64)
+    slots = used.shape[1]
+    slot = (mix(path + _U(turn * 7919 + 1)) % _U(slots)).astype(np.int64)
     rows = np.arange(len(path))
     while (taken := used[rows, slot]).any():
-        slot[taken] = (slot[taken] + 1) % SLOTS
+        slot[taken] = (slot[taken] + 1) % slots
     used[rows, slot] = True
     return mix(path ^ (slot.astype(np.uint64) << _U(20)) ^ sig[rows, slot].astype(np.uint64))
 
@@ -136,9 +143,9 @@ def _paths(trees: int, depth: int):
             sig, rep = _signatures(b.column("sig")), b.column("rep").to_numpy(zero_copy_only=False)
             for t in range(trees):
                 path = mix(np.full(len(sig), t + 1, np.uint64))
-                used = np.zeros((len(sig), SLOTS), bool)
+                own, used = sig[:, t * POOL : (t + 1) * POOL], np.zeros((len(sig), POOL), bool)
                 for _ in range(depth):
-                    path = _step(path, sig, used, 0)
+                    path = _step(path, own, used, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(rep)], names=["node", "rep"])
 
     return run
@@ -278,7 +285,7 @@ def groups(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFra
         if large.isEmpty():
             live = None
             break
-        # signatures hold 64 tokens, so a node that is still large here has many classes in common slots
+        # signatures hold SLOTS tokens, so a node that is still large here has many classes in common slots
         live = scratch.keep(_mixed(large.select("node", "rep", "component", "n", "sig").mapInArrow(_branch(join.branches), "node long, rep long, component long, n long, sig binary")), "deeper")
     if live is not None:
         found.append(_pairs(live.filter(F.col("size") <= join.leaf).drop("size"), ["node"], join))
