@@ -107,6 +107,15 @@ def test_trees_are_independent():
     assert tail < 1e-6
 
 
+def test_a_repeated_id_with_another_text_first():
+    """The link of the right text is found though a row of the same doc_id with another text comes first."""
+    right, other = "a b c d e f g h i j", "x y z u v w"
+    h1, h2 = chosen_path.set_hash(next(chosen_path.shingle_sets(pa.array([right]))))
+    rows = [(1, 2, h1, h2, h1, h2, other, right), (1, 2, h1, h2, h1, h2, right, right)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["a", "b", "a1", "a2", "b1", "b2", "ta", "tb"])
+    assert [b.to_pydict() for b in chosen_path._confirm(85)([batch])] == [{"a": [1], "b": [2]}]
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(5, 5), (300, 300)]

@@ -216,7 +216,7 @@ def _confirm(percent: int):
             cols = [batch.column(k) for k in ("a", "b", "a1", "a2", "b1", "b2", "ta", "tb")]
             for i in range(batch.num_rows):
                 a, b, a1, a2, b1, b2 = (cols[k][i].as_py() for k in range(6))
-                if last[0] != (a, a1, a2):
+                if last[0] != (a, a1, a2) or not last_ok:  # the row before may have had another text
                     last = ((a, a1, a2), next(shingle_sets(cols[6].slice(i, 1))))
                     last_ok = set_hash(last[1]) == (a1, a2)
                 if not last_ok:
