@@ -38,6 +38,19 @@ def test_template_subtrees_go(spark):
     assert html_text.main_text(spark, df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    """An article on three pages keeps its lists; an unnamed promo longer than the story goes."""
+    article = "<article><p>The steps are these, told at some length</p><ul><li>one</li><li>two</li></ul></article>"
+    plain = "<div><p>A story that stands on three pages of the host</p><ul><li>three</li></ul></div>"
+    promo = "<div><p>" + "Join our club today. " * 9 + "</p></div>"
+    pages = [(i, f"http://a.com/{i}", f"<p>Page {i}</p>{article}") for i in range(3)] + [(i, f"http://b.com/{i}", plain) for i in range(10, 13)]
+    pages += [(i, f"http://c.com/{i}", f"<div><p>Short story {i}</p></div>{promo}") for i in range(20, 26)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(spark, df, Scratch(spark, "t")).collect()}
+    assert all(got[i] == "The steps are these, told at some length\none\ntwo" for i in range(3))
+    assert all(got[i].endswith("three") for i in range(10, 13)) and all(got[i] == f"Short story {i}" for i in range(20, 26))
+
+
 def test_pages_give_their_articles(spark, sf):
     """Pages are made of documents: the article is a title and a document's lines."""
     flat = lambda t: "\n".join(x for x in (" ".join(y.split()) for y in t.split("\n")) if x)

@@ -2,20 +2,21 @@
 
 1. A tolerant parser builds each page's element tree (implied end tags, void and raw-text elements,
    unclosed and stray tags).  Every container's subtree gets a 64-bit hash of its tags and texts.
-2. Spark counts, for each host, on how many of its pages a subtree occurs.  Subtrees on at least
-   `least_pages` pages and on `share` of the host's pages (or `enough_pages`) are the site's template.
+2. Spark counts, for each host, with how many distinct texts a subtree occurs: the copies of one
+   article are one page.  Subtrees on at least `least_pages` such pages and on `share` of the host's
+   (or `enough_pages`) are the site's template.
 3. Each page is read again: template subtrees go, so do elements whose tag, role or class names
    them menu, header, footer, sidebar, notice, advert, form or comments; of the rest the article
    (or main element, or else the body without link lists) gives the text, block by block.
 
-Paragraphs and headings that stand in the article are its text even if they recur, as is whatever
-holds most of the article; only containers are template.
+Whatever stands in an article or main element is its text even if it recurs; elsewhere only
+containers are template.  A page that holds nothing but template keeps that as its text.
 
 A hot host is no hot task: counting is pre-aggregated by (host, hash), and what a page needs of its
 host's template comes by joins on (host, hash) and on the page, never as a host's whole template.
 
 Defined results: null or empty html gives an empty text; a null url is the host ''; repeated rows
-are as many pages of the host; rows that repeat a page_id are each extracted; no rows give no rows.
+are one page of the host; rows that repeat a page_id are each extracted; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -161,6 +162,10 @@ def _attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(node.attrs)} if node.attrs.strip() else {}
 
 
+def _is_main(n: Node) -> bool:
+    return n.tag in ("article", "main") or (bool(n.attrs) and "main" in n.attrs and _attributes(n).get("role") == "main")
+
+
 def measure(root: Node) -> None:
     """hash, size (characters of text), links (those in links) and main of every element, bottom up."""
     order, stack = [], [root]
@@ -170,7 +175,7 @@ def measure(root: Node) -> None:
         stack += [x for x in n.items if not isinstance(x, str)]
     for n in reversed(order):
         h = xxhash.xxh64(n.tag)
-        n.main = n.tag in ("article", "main") or (bool(n.attrs) and "main" in n.attrs and _attributes(n).get("role") == "main")
+        n.main = _is_main(n)
         for x in n.items:
             if isinstance(x, str):
                 words = x.split()
@@ -221,10 +226,10 @@ def prune(root: Node, template: frozenset[int] | set[int]) -> None:
                 continue
             if named_boilerplate(x, inside):
                 continue
-            if template and x.hash in template and x.tag in _CONTAINER and not x.main and 2 * x.size < n.size:
+            if template and not inside and x.hash in template and x.tag in _CONTAINER and not x.main:
                 continue
             keep.append(x)
-            stack.append((x, inside or x.tag in ("article", "main")))
+            stack.append((x, inside or _is_main(x)))
         n.items = keep
 
 
@@ -296,6 +301,12 @@ def extract(source: str | None, template: frozenset[int] | set[int] = frozenset(
         return ""
     root = parse(source)
     measure(root)
+    text = _text(root, template, site)
+    return text if text or not template else extract(source, frozenset(), site)
+
+
+def _text(root: Node, template: frozenset[int] | set[int], site: Site) -> str:
+    """The text of a measured tree, which is cut down to it."""
     prune(root, template)
     found = roots(root)
     if not found:
@@ -308,34 +319,40 @@ def _signed(h: int) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, hash) of the distinct container subtrees of each page."""
-    for b in batches:
-        host, page, out = [], [], []
-        for h, p, source in zip(b.column("host").to_pylist(), b.column("page").to_pylist(), b.column("html")):
-            source = source.as_py()
-            if not source:
-                continue
-            root = parse(source)
-            measure(root)
-            seen, stack = set(), [root]
-            while stack:
-                n = stack.pop()
-                if n.tag in _CONTAINER and n.size:
-                    seen.add(n.hash)
-                stack += [x for x in n.items if not isinstance(x, str)]
-            host += [h] * len(seen)
-            page += [p] * len(seen)
-            out += map(_signed, seen)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(out, pa.int64())], names=["host", "page", "hash"])
+def _containers(site: Site):
+    """(host, page, body, hash) of the distinct container subtrees of each page, and one row without a hash; body names its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            host, page, body, out = [], [], [], []
+            for h, p, source in zip(b.column("host").to_pylist(), b.column("page").to_pylist(), b.column("html")):
+                source = source.as_py()
+                if not source:
+                    continue
+                root = parse(source)
+                measure(root)
+                seen, stack = set(), [root]
+                while stack:
+                    n = stack.pop()
+                    if n.tag in _CONTAINER and n.size:
+                        seen.add(n.hash)
+                    stack += [x for x in n.items if not isinstance(x, str)]
+                host += [h] * (len(seen) + 1)
+                page += [p] * (len(seen) + 1)
+                body += [_signed(xxhash.xxh64_intdigest(_text(root, frozenset(), site)))] * (len(seen) + 1)
+                out += [*map(_signed, seen), None]
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(body, pa.int64()), pa.array(out, pa.int64())], names=["host", "page", "body", "hash"])
+
+    return run
 
 
 def templates(spark: SparkSession, pages: DataFrame, scratch: Scratch, site: Site = Site()) -> DataFrame:
     """(page, hashes) of the pages (page, host, html) that hold subtrees of their host's template."""
-    found = scratch.keep(pages.select("host", "page", "html").mapInArrow(_containers, "host string, page long, hash long"), "subtrees")
-    # a page is counted once for each subtree; rows of equal pages were hashed alike, so count rows
-    size = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    often = found.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= site.least_pages)
+    found = scratch.keep(pages.select("host", "page", "html").mapInArrow(_containers(site), "host string, page long, body long, hash long"), "subtrees")
+    # copies of one text are one page of the host
+    counted = found.select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    size = counted.filter("hash IS NULL").select("host", F.col("n").alias("host_pages"))
+    often = counted.filter("hash IS NOT NULL").filter(F.col("n") >= site.least_pages)
     often = often.join(size, "host").filter(F.col("n") >= F.least(F.lit(site.enough_pages), F.ceil(F.col("host_pages") * site.share))).select("host", "hash")
     return found.join(often, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("hashes"))
 
