@@ -199,6 +199,18 @@ def test_licences_of_the_corpus(spark):
     assert want == got
 
 
+def test_a_frequent_notice_is_still_found():
+    """Notices in a share of all paragraphs keep their cue words and teach no ordinary text."""
+    rnd = random.Random(2)
+    prose = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(12)) for _ in range(3000)]
+    lines = {"All rights reserved.": "all-rights-reserved", "This is free and unencumbered software released into the public domain.": "unlicense", licences.NOTICES["gpl"][6]: "gpl"}
+    m = licences.train(prose + [x for x in lines for _ in range(300)])
+    for line, label in lines.items():
+        assert m.cues & {w.encode() for w in licences.words_of(line)} and licences.classify(line, m)[0] == label
+    for notices in (*licences.NOTICES.values(), licences.OTHERS):
+        assert all(m.cues & {w.encode() for w in licences.words_of(n)} for n in notices)
+
+
 def test_licence_accuracy_on_unseen_variants():
     m = licences.train(["plain words of some story"] * 50)
     rnd = random.Random(77)

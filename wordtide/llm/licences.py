@@ -8,8 +8,8 @@ variants; a paragraph that is likely a licence but of no family likely enough is
 family is confirmed if enough of the paragraph's word pairs lie in one of the family's notices or
 enough of a notice lies in the paragraph; what is not confirmed is `unknown` too.
 
-Only paragraphs with a cue word (a word that the notices have and ordinary paragraphs hardly) are
-classified: the others have no feature that speaks for a licence.  One pass, no shuffle; the model
+Only paragraphs with a cue word are classified: one that the notices have and distinct ordinary
+paragraphs hardly, or one of an n-gram or notice that is licence enough by itself, however frequent.  One pass, no shuffle; the model
 is a few thousand weights, whatever the corpus.
 
 Defined results: null and empty texts have no paragraphs; repeated rows give repeated findings;
@@ -130,13 +130,23 @@ def train(ordinary: list[str], scan: Scan = Scan()) -> Model:
     families = list(NOTICES)
     none, other = len(families), len(families) + 1
     own = {w for ns in NOTICES.values() for n in ns for w in words_of(n)} | {w for n in OTHERS for w in words_of(n)}
+    strong = ("licen", "copyright", "gpl", "apache", "spdx", "redistribut")
+    spoken = {w for w in own if any(k in w for k in strong)} | {"rights", "reserved"}
+    every = [_pairs(words_of(n)) for ns in (*NOTICES.values(), OTHERS) for n in ns]
+
+    def speaks(p: str) -> bool:
+        """A notice, or likely one: it teaches neither what is ordinary nor how often words are."""
+        if any(k in p.lower() for k in (*strong, "rights reserved")):
+            return True
+        mine = _pairs(words_of(p))
+        return any(shared >= scan.alike * min(len(mine), len(t)) for t in every if (shared := len(mine & t)))
+
+    plain = [p for p in dict.fromkeys(ordinary) if not speaks(p)]
     seen: dict[str, int] = {}
-    for p in ordinary:
+    for p in plain:
         for w in set(words_of(p)):
             seen[w] = seen.get(w, 0) + 1
-    strong = ("licen", "copyright", "gpl", "apache", "spdx", "rights reserved", "redistribut")
-    plain = [p for p in ordinary if not any(k in p.lower() for k in strong)]
-    cues = {w for w in own if seen.get(w, 0) <= scan.cue_share * max(len(ordinary), 1) + 1 and len(w) > 2} | {w for w in own if any(k in w for k in strong)}
+    cues = {w for w in own if seen.get(w, 0) <= scan.cue_share * max(len(plain), 1) + 1 and len(w) > 2} | spoken
     data: list[tuple[list[str], int]] = []
     for k, f in enumerate(families):
         for n in NOTICES[f]:
@@ -199,6 +209,11 @@ def train(ordinary: list[str], scan: Scan = Scan()) -> Model:
     grid = [0.25 * 1.15**i for i in range(24)]
     loss = [-np.log(np.maximum(soft(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     pairs = {f: [_pairs(words_of(n)) for n in NOTICES[f]] for f in families}
+    # of every n-gram that by itself makes a licence the rarest word is a cue, however frequent; so is that of every notice
+    alone = soft((w + b) / grid[int(np.argmin(loss))])[:, none]
+    for g in [g.split() for g, i in names.items() if 1 - alone[i] >= scan.licence_p] + [words_of(n) for ns in (*NOTICES.values(), OTHERS) for n in ns]:
+        if not cues.intersection(g):
+            cues.add(min(g, key=lambda x: (seen.get(x, 0), x)))
     return Model(families, {g: w[i] for g, i in names.items()}, b, grid[int(np.argmin(loss))], frozenset(c.encode() for c in cues), scan, pairs)
 
 
@@ -275,7 +290,7 @@ def scan(spark: SparkSession, docs: DataFrame, settings: Scan = Scan()) -> DataF
     """FOUND: every licence passage of docs (doc_id, text), with the lines it spans (from 0)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = docs.filter("text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows)
-    taught = docs.join(F.broadcast(some.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("p")).orderBy(F.xxhash64("p"), "p").limit(10 * settings.rows)
+    taught = docs.join(F.broadcast(some.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("p")).distinct().orderBy(F.xxhash64("p"), "p").limit(10 * settings.rows)
     model = train([r.p for r in taught.toLocalIterator() if r.p.strip()], settings)
     return docs.mapInArrow(_scan(spark.sparkContext.broadcast(model)), FOUND)
 
