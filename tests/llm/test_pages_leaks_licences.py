@@ -165,6 +165,11 @@ def test_paraphrases_that_keep_half_of_the_words(spark):
     assert all(d % 2 == 0 for d, _ in got)
 
 
+def test_copies_of_a_passage_take_one_place_in_the_fit(spark):
+    counted = spark.createDataFrame([(1, bytearray(b"hot"))] * 50 + [(k, bytearray(b"p%d" % k)) for k in range(2, 6)] + [(None, None)], "key long, passage binary")
+    assert sorted(bytes(r.passage) for r in latent._distinct_passages(counted, latent.Search(fit_passages=4)).collect()) == [b"hot", b"p2", b"p3", b"p4"]
+
+
 def test_without_an_answer_all_words_decide():
     s = latent.Search()
     item = [f"i{k}" for k in range(20)]
