@@ -1,4 +1,4 @@
-"""Makes this package known to Python workers that cannot import it from their own path."""
+"""What a cluster has to know of this package: the code on its workers' path, the shared folder."""
 
 from __future__ import annotations
 
@@ -31,3 +31,18 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints.
+
+    Only in local mode, where one machine is all there is, a temporary one stands in for a folder
+    that is not named; elsewhere a missing name is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="wordtide-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
