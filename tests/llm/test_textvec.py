@@ -69,3 +69,46 @@ def test_table_forgets_but_never_errs():
             flat, start, length, word = t.of(u)
             assert bytes(gather(flat, start[word], length[word]).tolist()) == b"".join(u.bytes_at(np.arange(len(u.hash))))
     assert gather(np.arange(5), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
+def thue_morse(n, turned=0):
+    return "".join("ab"[(i.bit_count() + turned) % 2] for i in range(n))
+
+
+def test_words_of_one_linear_hash_have_names_of_their_own():
+    """Thue-Morse words and their complements, on which sums of powers modulo 2**64 agree."""
+    for n in (16, 32, 64, 1024, 2048):
+        (c,) = chunks(pa.array([f"{thue_morse(n)} {thue_morse(n, 1)} {thue_morse(n)}"]))
+        u = c.words()
+        assert u.hash[0] == u.hash[2] != u.hash[1] and u.check[0] == u.check[2] != u.check[1]
+
+
+def test_every_byte_of_a_word_counts():
+    for n in (*range(1, 70), 200):
+        words = {bytes(97 + (j == i) for j in range(n)) for i in range(n)} | {b"a" * n, b"a" * (n + 1), b"a" * n + b"\x01"}
+        (c,) = chunks(pa.array([b" ".join(sorted(words)).decode()]))
+        u = c.words()
+        assert len(set(u.hash.tolist())) == len(words) == len(set(u.check.tolist()))
+
+
+def test_table_tells_words_of_one_hash_apart():
+    seen = []
+
+    def compute(ws):
+        seen.extend(ws)
+        return np.array([w[0] for w in ws], np.int32), np.ones(len(ws), np.int32)
+
+    (c,) = chunks(pa.array(["a b c a", "b"]))
+    t = WordTable(compute)
+    t.of(c.words())
+    for clash in (c.words(), c.words()):
+        clash.hash[:] = 7
+        flat, start, _, word = t.of(clash)
+        assert flat[start][word].tolist() == [97, 98, 99, 97, 98]
+    later = WordTable(compute)
+    for k, text in enumerate(("a", "b", "a b")):
+        (c,) = chunks(pa.array([text]))
+        u = c.words()
+        u.hash[:] = 7
+        flat, start, _, word = later.of(u)
+        assert flat[start][word].tolist() == [ord(x) for x in text.split()], k

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordtide.cluster import ship
+from wordtide.cluster import shared_dir, ship
 
 #: Id sets of at most so many rows (a long each, about 16 bytes in a hashed relation) are broadcast.
 BROADCAST_IDS = 2_000_000
@@ -32,13 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="wordtide-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def vocabulary_file(name: str) -> str:
+    """Where a vocabulary lies on this machine: a path as it is, a bare name among the public tokenizers."""
+    return name if os.path.dirname(name) else public_tokenizers.path(name)
 
 
 class Scratch:

@@ -25,10 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordtide.llm.common import clear_name, table
+from wordtide.llm.common import clear_name, table, vocabulary_file
 from wordtide.llm.textvec import SPACE, Chunk, Units, WordTable, cached, chunks, gather, mix, windows3
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+NAME = "piece_bpe_32k.model"  # a public vocabulary, looked up on the machine that uses it
+VOCABULARY = vocabulary_file(NAME)
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
@@ -59,7 +60,7 @@ SCRIPTS = {"latin": Band(), "two_byte": Band((0.8, 8.0), 0.6), "three_byte": Ban
 
 @dataclass(frozen=True)
 class Rules:
-    vocabulary: str = VOCABULARY
+    vocabulary: str = NAME
     languages: dict[str, Band] = field(default_factory=lambda: LANGUAGES)
     scripts: dict[str, Band] = field(default_factory=lambda: SCRIPTS)
 
@@ -98,7 +99,7 @@ class _Pieces:
 
 
 def _vocabulary(path: str) -> tuple[_Pieces, WordTable]:
-    return cached(("fertility", path), lambda: (p := _Pieces(path), WordTable(p)))
+    return cached(("fertility", path), lambda: (p := _Pieces(vocabulary_file(path)), WordTable(p)))
 
 
 def base_counts(c: Chunk, u: Units) -> dict[str, np.ndarray]:

@@ -31,10 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordtide.llm.common import table
+from wordtide.llm.common import table, vocabulary_file
 from wordtide.llm.textvec import Chunk, Units, WordTable, cached, chunks, gather, mix
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+NAME = "piece_bpe_32k.model"  # a public vocabulary, looked up on the machine that uses it
+VOCABULARY = vocabulary_file(NAME)
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 _NONE = -1
@@ -230,7 +231,7 @@ class Vocabulary:
 
 def vocabulary(path: str) -> tuple[Vocabulary, WordTable]:
     def make() -> tuple[Vocabulary, WordTable]:
-        v = Vocabulary.load(path)
+        v = Vocabulary.load(vocabulary_file(path))
 
         def compute(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             texts = [w.decode().replace(" ", MARK) for w in words]
@@ -264,7 +265,7 @@ def marked_words(c: Chunk, dummy_prefix: bool) -> Units:
     starts = np.flatnonzero(start)
     u = c.units(starts, np.append(starts[1:], n))
     opens = np.isin(starts, firsts) & dummy_prefix
-    u = _Marked(c, u.starts, u.ends, u.doc, np.where(opens, mix(u.hash ^ np.uint64(0x7E5)), u.hash))
+    u = _Marked(c, u.starts, u.ends, u.doc, np.where(opens, mix(u.hash ^ np.uint64(0x7E5)), u.hash), np.where(opens, ~u.check, u.check))
     u.opens = opens
     return u
 
@@ -304,7 +305,7 @@ def _decode(v: Vocabulary, ids: np.ndarray, cut: np.ndarray) -> list[bytes]:
     return [raw[a + drop if b > a and raw[a : a + drop] == b" " else a : b] for a, b in zip(at[:-1], at[1:])]
 
 
-def encoded(text: Column, path: str = VOCABULARY) -> Column:
+def encoded(text: Column, path: str = NAME) -> Column:
     """A struct (ids, n_pieces, ids_crc32, decoded_ok) for each text; decoded_ok: decoding gives the text,
     with U+2581 in it as the space that the model takes it for."""
 
@@ -315,7 +316,7 @@ def encoded(text: Column, path: str = VOCABULARY) -> Column:
     return pieces.asNondeterministic()(text)
 
 
-def decoded(ids: Column, path: str = VOCABULARY) -> Column:
+def decoded(ids: Column, path: str = NAME) -> Column:
     """The text of each array of piece ids; null for null. Bytes that are no UTF-8 become U+FFFD."""
 
     @F.arrow_udf("string")

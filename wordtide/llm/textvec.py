@@ -1,9 +1,12 @@
 """Vectorised words of Arrow text columns.
 
 Every text operator here sees a batch of texts as one byte buffer.  Words (or other units) are
-found with array arithmetic over that buffer and named by a 64-bit hash of their bytes, so no
-Python object exists per word occurrence; Python touches only the *distinct* words of a batch,
-and of those only the ones that its worker has not met lately (`WordTable`).
+found with array arithmetic over that buffer and named by a hash of their bytes, eight bytes of all
+units at a time, so no Python object exists per word occurrence; Python touches only the *distinct*
+words of a batch, and of those only the ones that its worker has not met lately (`WordTable`).
+
+A unit's name is `hash` (64 bits); `check` is 64 more bits of its own, by which a `WordTable` sees
+that two units of one hash differ.  Both come of mixing that is not linear in the bytes.
 """
 
 from __future__ import annotations
@@ -16,19 +19,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are handled at a time; one longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_rng = np.random.Generator(np.random.PCG64(0x5EED))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_SEED_A, _SEED_B, _MUL = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93)
+_LANE = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)  # mask of the first k bytes of eight
+LONG = 64  # bytes; longer units are hashed one by one
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,18 +44,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, at least n of each."""
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        _powers = (made[0], made[1])
-    return _powers
+def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, check) of data[s:e] of each unit."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    a, b = _SEED_A ^ size.astype(np.uint64), _SEED_B + size.astype(np.uint64) * _MUL
+    which: np.ndarray | slice = slice(None)
+    for at in range(0, LONG, 8):
+        if at:
+            which = np.flatnonzero((size > at) & (size <= LONG))
+            if not len(which):
+                break
+        lane = eight[starts[which] + at] & _LANE[np.minimum(size[which] - at, 8)]
+        a[which] = mix(a[which] ^ lane)
+        b[which] = mix((b[which] ^ (lane >> _U(32) | lane << _U(32))) * _MUL) + a[which]
+    name, check = mix(a ^ (b >> _U(23) | b << _U(41))), mix(b)
+    for i in np.flatnonzero(size > LONG).tolist():
+        both = xxhash.xxh3_128_intdigest(data[starts[i] : ends[i]])
+        name[i], check[i] = both >> 64, both & 0xFFFFFFFFFFFFFFFF
+    return name, check
 
 
 @dataclass
@@ -69,9 +81,8 @@ class Chunk:
 
     def sums(self, mask: np.ndarray) -> np.ndarray:
         """Of each text, how many of its bytes have mask set."""
-        c = np.zeros(len(mask) + 1, np.int64)
-        np.cumsum(mask, out=c[1:])
-        return c[self.offsets[1:]] - c[self.offsets[:-1]]
+        at = self.offsets.tolist()
+        return np.array([np.count_nonzero(mask[a:b]) for a, b in zip(at[:-1], at[1:])], np.int64)
 
     def words(self, lower: bool = False) -> "Units":
         """Runs of bytes other than space, tab, newline, VT, FF and CR."""
@@ -88,14 +99,8 @@ class Chunk:
         return self.units(np.flatnonzero(ink & ~before), np.flatnonzero(ink & ~after) + 1, lower)
 
     def units(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> "Units":
-        n = len(self.data)
-        power, inverse = _power(n + 1)
-        c = np.zeros(n + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * power[:n], out=c[1:])
-        h = (c[ends] - c[starts]) * inverse[starts]
-        h ^= (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
         doc = np.searchsorted(self.offsets, starts, side="right") - 1
-        return Units(self, starts, ends, doc, mix(h))
+        return Units(self, starts, ends, doc, *_names(_LOWER[self.data] if lower else self.data, starts, ends))
 
 
 @dataclass
@@ -105,6 +110,7 @@ class Units:
     ends: np.ndarray
     doc: np.ndarray  # index of the text within the chunk
     hash: np.ndarray  # uint64
+    check: np.ndarray  # uint64
 
     def bytes_at(self, which: np.ndarray) -> list[bytes]:
         if len(which) < 1000:
@@ -149,31 +155,41 @@ def windows3(u: Units) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordTable:
-    """What a worker knows of the words it met: a ragged array of values by word hash.
+    """What a worker knows of the words it met: a ragged array of values by word.
 
     `compute(words)` gives (values end to end, how many of each).  Holds at most `limit` words;
     beyond that it forgets all and begins again, so its size has a bound and results never
-    depend on it.
+    depend on it.  A word is found by its hash and told from others by its check; should two words
+    of one hash meet, the table begins again with names made of both.
     """
 
     def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000):
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.salt = compute, limit, 0
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.checks = np.zeros(0, np.uint64)
         self.start = np.zeros(0, np.int64)
         self.len = np.zeros(0, np.int32)
         self.flat: np.ndarray | None = None
 
     def of(self, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(values, start by distinct word, length by distinct word, distinct word of each unit)."""
-        order = np.argsort(u.hash)
-        keys = u.hash[order]
+        while (found := self._of(u, mix(u.hash ^ mix(u.check + _U(self.salt))) if self.salt else u.hash)) is None:
+            self.salt += 1
+            self._clear()
+        return found
+
+    def _of(self, u: Units, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        order = np.argsort(names)
+        keys, checks = names[order], u.check[order]
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
+        if (~new[1:] & (checks[1:] != checks[:-1])).any():
+            return None
         first = np.flatnonzero(new)
-        keys, at = keys[first], order[first]
+        keys, checks, at = keys[first], checks[first], order[first]
         inverse = np.empty(len(order), np.int64)
         inverse[order] = np.cumsum(new) - 1
         if len(self.keys) + len(keys) > self.limit:
@@ -182,6 +198,8 @@ class WordTable:
         hit = np.zeros(len(keys), bool)
         inside = pos < len(self.keys)
         hit[inside] = self.keys[pos[inside]] == keys[inside]
+        if (self.checks[pos[hit]] != checks[hit]).any():
+            return None
         new = np.flatnonzero(~hit)
         if len(new) or self.flat is None:
             flat, lens = self.compute(u.bytes_at(at[new]))
@@ -191,6 +209,7 @@ class WordTable:
             self.flat = np.asarray(flat) if self.flat is None else np.concatenate((self.flat, flat))
             where = pos[new]
             self.keys = np.insert(self.keys, where, keys[new])
+            self.checks = np.insert(self.checks, where, checks[new])
             self.start = np.insert(self.start, where, starts)
             self.len = np.insert(self.len, where, lens)
             pos = np.searchsorted(self.keys, keys)

@@ -8,14 +8,17 @@ From the file alone follow, without unpacking it: `access` (token at a position)
 `count` (how often an id occurs before a position, in all), `select` (where the k-th occurrence
 is) and `documents`; `tokens` unpacks everything.
 
-Writing: documents are parted by ranges of doc_id (boundaries from quantiles), sorted within a
+Writing: ids are encoded and written once, parted by ranges of (doc_id, checksum), sorted within a
 range and streamed into files of at most `file_tokens` tokens, so a task's memory does not depend
-on the range.  A file is written under another name and then renamed; a task that is run again
-writes the same bytes.  A manifest row for each file makes the set of files complete.
+on the range.  Ranges are Spark's own, of a sample of bounded size; rows that share a doc_id are
+parted too, so a hot id is no hot task.  A file is written under another name and then renamed; a
+task that is run again writes the same bytes.  A manifest row for each file makes the set of files
+complete.
 
 Defined results: null and empty texts are the end id alone; rows that repeat a doc_id follow each
 other in the order of their ids' checksum; a null doc_id sorts first and is stored as such; a very
-long document may fill several files' worth of tokens in one file; no rows give no files.
+long document is one document of one file, of whatever size; no rows give no files; columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,10 +37,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordtide.llm.common import Scratch, table
+from wordtide.llm.common import Scratch, table, vocabulary_file
 from wordtide.llm.textvec import Chunk, Units, WordTable, cached, chunks, gather, mix
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+NAME = "word_bpe_49k.json"  # a public vocabulary, looked up on the machine that uses it
+VOCABULARY = vocabulary_file(NAME)
 END_ID = 1
 MAGIC = b"WVMX0001"
 BLOCK = 8192  # bytes of a plane's block
@@ -47,10 +51,10 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 @dataclass(frozen=True)
 class Layout:
-    vocabulary: str = VOCABULARY
+    vocabulary: str = NAME
     end_id: int = END_ID
     file_tokens: int = 4_000_000
-    range_bytes: int = 24_000_000  # text of a range of doc_ids, about; one task each
+    range_bytes: int = 12_000_000  # encoded ids of a range of doc_ids, about; one task each
 
 
 # ---------------------------------------------------------------- the file
@@ -276,7 +280,7 @@ class _Encoder:
 
 
 def _word_ids(path: str) -> tuple[_Encoder, WordTable]:
-    return cached(("ids", path), lambda: (e := _Encoder(path), WordTable(e, 1_200_000)))
+    return cached(("ids", path), lambda: (e := _Encoder(vocabulary_file(path)), WordTable(e, 1_200_000)))
 
 
 def _units(c: Chunk, folds: bool) -> Units:
@@ -302,7 +306,8 @@ def _units(c: Chunk, folds: bool) -> Units:
     open_ = np.concatenate(([0], np.cumsum(d == 60)))
     special = np.flatnonzero(open_[ends] > open_[starts])  # may hold special tokens, which are told apart by case
     if len(special):
-        lower.hash[special] = mix(c.units(starts[special], ends[special]).hash ^ np.uint64(0x3C3C))
+        exact = c.units(starts[special], ends[special])
+        lower.hash[special], lower.check[special] = mix(exact.hash ^ np.uint64(0x3C3C)), exact.check
     return lower
 
 
@@ -322,11 +327,9 @@ def encode(text: pa.Array, path: str, end_id: int) -> Iterator[tuple[np.ndarray,
         yield ids, n + 1
 
 
-def _encoded(text: Column, doc_id: Column, layout: Layout, bounds: list[int]) -> Column:
-    type_ = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("crc", T.LongType()), T.StructField("range", T.IntegerType())])
-
-    @F.arrow_udf(type_)
-    def ids_and_range(text: pa.Array, doc_id: pa.Array) -> pa.Array:
+def _encoded(text: Column, layout: Layout) -> Column:
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("crc", T.LongType())]))
+    def ids_of(text: pa.Array) -> pa.Array:
         out, crc = [], []
         for ids, n in encode(text, layout.vocabulary, layout.end_id):
             raw, cut = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(n))).tolist()
@@ -334,10 +337,9 @@ def _encoded(text: Column, doc_id: Column, layout: Layout, bounds: list[int]) ->
             for a, b in zip(cut[:-1], cut[1:]):
                 crc.append(zlib.crc32(raw[4 * a : 4 * b]))
                 out.append(b"\x02" + short[2 * a : 2 * b] if short is not None else b"\x04" + raw[4 * a : 4 * b])
-        where = np.searchsorted(np.array(bounds, np.int64), doc_id.fill_null(NULL_ID).to_numpy(zero_copy_only=False), side="right")
-        return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(crc, pa.int64()), pa.array(where, pa.int32())], names=["ids", "crc", "range"])
+        return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(crc, pa.int64())], names=["ids", "crc"])
 
-    return ids_and_range.asNondeterministic()(text, doc_id)
+    return ids_of.asNondeterministic()(text)
 
 
 def _ids(raw: bytes) -> np.ndarray:
@@ -360,29 +362,29 @@ def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        attempt = TaskContext.get().taskAttemptId()
-        state: dict = {"range": None, "k": 0, "ids": [], "tokens": [], "held": 0}
+        attempt, part = TaskContext.get().taskAttemptId(), TaskContext.get().partitionId()
+        k, held, ids, tokens = 0, 0, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not state["ids"]:
+            nonlocal k, held
+            if not ids:
                 return
-            name = f"{folder}/{state['range']:08d}-{state['k']:05d}.wvm"
-            lengths = np.array([len(t) for t in state["tokens"]], np.int64)
-            put(name, build(np.concatenate(state["tokens"]), np.array(state["ids"], np.int64), lengths), attempt)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([state["range"]], pa.int32()), pa.array([state["k"]], pa.int32()), pa.array([len(lengths)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], names=["path", "range", "file", "n_docs", "n_tokens"])
-            state.update(k=state["k"] + 1, ids=[], tokens=[], held=0)
+            name = f"{folder}/{part:08d}-{k:05d}.wvm"
+            lengths = np.array([len(t) for t in tokens], np.int64)
+            put(name, build(np.concatenate(tokens), np.array(ids, np.int64), lengths), attempt)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(lengths)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())], names=["path", "range", "file", "n_docs", "n_tokens"])
+            k, held = k + 1, 0
+            ids.clear()
+            tokens.clear()
 
         for b in batches:
-            for r, doc, raw in zip(b.column("range").to_pylist(), b.column("doc_id").fill_null(NULL_ID).to_pylist(), b.column("ids")):
-                if r != state["range"]:
-                    yield from flush()
-                    state.update(range=r, k=0)
-                tokens = _ids(raw.as_py())
-                if state["held"] and state["held"] + len(tokens) > most:
+            for doc, raw in zip(b.column("doc_id").fill_null(NULL_ID).to_pylist(), b.column("ids")):
+                mine = _ids(raw.as_py())
+                if held and held + len(mine) > most:
                     yield from flush()
-                state["ids"].append(doc)
-                state["tokens"].append(tokens)
-                state["held"] += len(tokens)
+                ids.append(doc)
+                tokens.append(mine)
+                held += len(mine)
         yield from flush()
 
     return run
@@ -391,19 +393,16 @@ def _write(folder: str):
 def write(spark: SparkSession, docs: DataFrame, scratch: Scratch, layout: Layout = Layout()) -> DataFrame:
     """Writes docs (doc_id, text) and returns the manifest (path, range, file, n_docs, n_tokens), written."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    k = max(1, -(-int(size[0] or 0) // layout.range_bytes))
-    bounds: list[int] = []
-    if k > 1:
-        at = [i / k for i in range(1, k)]
-        found = docs.select(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(max(10_000, 20 * k))).alias("q")).first()["q"]
-        bounds = sorted(set(found or []))
+    encoded = scratch.keep(docs.select("doc_id", _encoded(F.col("text"), layout).alias("e")).select("doc_id", "e.ids", "e.crc"), "encoded")
+    size = int(encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0)
     folder = scratch.path("ids")
-    e = _encoded(F.col("text"), F.col("doc_id"), layout, bounds)
-    rows = docs.select("doc_id", e.alias("e")).select("doc_id", "e.ids", "e.crc", "e.range")
-    rows = rows.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "doc_id", "crc", "ids")
+    # equal rows of one id may lie in any range: their order does not tell
+    rows = encoded.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-size // layout.range_bytes)), "doc_id", "crc", "row")
+    rows = rows.sortWithinPartitions("doc_id", "crc", "ids").select("doc_id", "ids")
     run, most = _write(folder), layout.file_tokens
-    return scratch.keep(rows.select("doc_id", "ids", "range").mapInArrow(lambda batches: run(batches, most), "path string, range int, file int, n_docs long, n_tokens long"), "manifest")
+    out = scratch.keep(rows.mapInArrow(lambda batches: run(batches, most), "path string, range int, file int, n_docs long, n_tokens long"), "manifest")
+    scratch.drop(encoded)
+    return out
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,9 +418,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
-    # one row for each file: their running total is a matter of thousands of rows, not of documents
-    order = Window.orderBy("range", "file").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # ranges are as many as tasks wrote files, so one task adds them up; files within a range are added up apart
+    ranges = manifest.groupBy("range").agg(F.sum("n_tokens").alias("n_tokens")).select("range", before(Window.orderBy("range")).alias("first"))
+    files = manifest.withColumn("within", before(Window.partitionBy("range").orderBy("file"))).join(ranges, "range").withColumn("base", F.col("first") + F.col("within"))
     n = max(1, manifest.count())
     return files.select("path", "base").repartition(min(n, 4096)).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
