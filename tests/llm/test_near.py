@@ -107,13 +107,53 @@ def test_trees_are_independent():
     assert tail < 1e-6
 
 
-def test_a_repeated_id_with_another_text_first():
-    """The link of the right text is found though a row of the same doc_id with another text comes first."""
-    right, other = "a b c d e f g h i j", "x y z u v w"
-    h1, h2 = chosen_path.set_hash(next(chosen_path.shingle_sets(pa.array([right]))))
-    rows = [(1, 2, h1, h2, h1, h2, other, right), (1, 2, h1, h2, h1, h2, right, right)]
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["a", "b", "a1", "a2", "b1", "b2", "ta", "tb"])
-    assert [b.to_pydict() for b in chosen_path._confirm(85)([batch])] == [{"a": [1], "b": [2]}]
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    """Against all pairs of rows: ids that repeat with other texts, in both orders, near others and not."""
+    rnd = random.Random(21)
+    text = lambda: " ".join(f"w{rnd.randrange(500)}" for _ in range(90))
+    a, b, c, d = text(), text(), text(), text()
+    docs = [(3, a), (5, a), (5, b), (7, c), (7, mutated(b.split(), rnd, 2)), (9, mutated(c.split(), rnd, 1)), (2, d), (2, mutated(a.split(), rnd, 2)), (11, d), (11, a), (11, text()), (None, a), (None, "x")]
+    sets = [shingles(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if docs[i][0] is not None and docs[j][0] is not None and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(docs):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    want = [(k, len(sets[i]), least.get(find(i)), k is None or least[find(i)] == k) for i, (k, _) in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(chosen_path.groups(spark, df), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
+    assert rows(chosen_path.keep_first(spark, df)) == sorted((r for r, w in zip(docs, want) if w[3]), key=repr)
+    alone = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert rows(chosen_path.keep_first(spark, alone)) == sorted([(3, a), (5, b)], key=repr)
+
+
+def test_bitmaps_lose_no_pair():
+    """The bound is at most the true difference, whatever the sizes, and cuts most pairs that are less alike."""
+    rng = np.random.default_rng(4)
+    cut = 0
+    for n in (6, 40, 400, 3000, 20_000):
+        for share in (0.5, 0.75, 0.86, 0.9, 0.99):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[: int(share * n)], rng.integers(0, 2**63, n - int(share * n), dtype=np.uint64))))
+            true = len(np.setxor1d(a, b))
+            maps = chosen_path.Bitmaps([chosen_path.signature(a), chosen_path.signature(b)])
+            got = int(maps.differ(np.array([0]), np.array([1]))[0])
+            shared = len(np.intersect1d(a, b))
+            assert got <= true
+            may = bool(chosen_path._may(np.array([true]), np.array([len(a)]), np.array([len(b)]), 85)[0])
+            assert may == (100 * shared >= 85 * (len(a) + len(b) - shared))
+            cut += not chosen_path._may(np.array([got]), np.array([len(a)]), np.array([len(b)]), 85)[0]
+    assert cut >= 12
 
 
 def test_components(spark):

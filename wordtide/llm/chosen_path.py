@@ -17,13 +17,17 @@ linked if 100 * |A and B| >= 85 * |A or B|, confirmed on the full sets.  How pai
   Nodes of at most `leaf` members compare all of those; larger ones branch on, `branches` children
   for each member, down to `deepest`; what is still larger there is compared in blocks, all of it.
 
-Signatures only rule out: a pair at J >= 0.85 that agrees in fewer than `agree` of 192 minwise
-values has probability below 1e-7.  All groups are pre-aggregated or written to the shared folder;
-no group is collected into one task beyond `leaf` members.
+Two filters stand before the full sets.  A signature only rules out: a pair at J >= 0.85 that agrees
+in fewer than `agree` of 192 minwise values has probability below 1e-7.  A bitmap of the set (8 to 16
+bits a shingle) gives a lower bound of the symmetric difference, which loses nothing.  What passes
+both is confirmed on the full sets.  All groups are pre-aggregated or written to the shared folder; no
+group is collected into one task beyond `leaf` members, or two blocks of `block`.
 
 Defined results: null texts and texts without a word have no shingle and are linked with nothing;
-texts of one or two words are linked with equal ones only; rows with a null doc_id are kept,
-unlinked, with a null component; rows that repeat a doc_id are one document; other columns stay.
+texts of one or two words are linked with equal ones only; very long texts are whole sets (about 60
+bytes of memory a byte of the longest); rows with a null doc_id are kept, unlinked, with a null
+component; rows that repeat a doc_id with another text are judged each by its own text, so a row
+goes only if its own text is near another's; other columns stay.
 """
 
 from __future__ import annotations
@@ -36,12 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordtide.llm.common import Scratch, among, table
+from wordtide.llm.common import Scratch, among, clear_name, table
 from wordtide.llm.components import components
 from wordtide.llm.textvec import chunks, mix, windows3
 
 POOL = 8  # minwise values of each tree
 SLOTS = 24 * POOL
+BITS = (512, 65536)  # of a bitmap, least and most
 _U = np.uint64
 _SLOT_XOR = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, SLOTS, dtype=np.uint64)
 _SLOT_MUL = np.random.Generator(np.random.PCG64(12)).integers(1, 2**63, SLOTS, dtype=np.uint64) | _U(1)
@@ -55,6 +60,7 @@ class Join:
     branches: int = 2
     deepest: int = 12
     leaf: int = 200
+    block: int = 2000
     agree: int = 135
 
     def __post_init__(self) -> None:
@@ -97,12 +103,54 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """16 bits of the minwise shingle in each slot."""
+    """16 bits of the minwise shingle in each slot, then a bitmap of the set."""
     out = np.empty(SLOTS, np.uint64)
     for i in range(0, len(s), 8192):
         part = ((s[None, i : i + 8192] ^ _SLOT_XOR[:, None]) * _SLOT_MUL[:, None]).min(axis=1)
         out = part if i == 0 else np.minimum(out, part)
-    return (mix(out) >> _U(48)).astype(np.uint16).tobytes()
+    return (mix(out) >> _U(48)).astype(np.uint16).tobytes() + bitmap(s)
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle by its hash modulo a power of two: folding one half over the other gives the shorter bitmap."""
+    bits = min(max(1 << (8 * len(s) - 1).bit_length(), BITS[0]), BITS[1])
+    seen = np.zeros(bits, bool)
+    seen[(mix(s ^ _U(0xB17)) & _U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(seen).tobytes()
+
+
+class Bitmaps:
+    """The bitmaps of some signatures, for lower bounds of symmetric differences."""
+
+    def __init__(self, signed: list[bytes]):
+        raw = [np.frombuffer(x, np.uint64, offset=2 * SLOTS) for x in signed]
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.row = np.zeros(len(raw), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == size)
+            self.row[at] = np.arange(len(at))
+            self.of[size] = np.stack([raw[i] for i in at.tolist()])
+
+    def _at(self, i: np.ndarray, size: int, own: int) -> np.ndarray:
+        m = self.of[own][self.row[i]]
+        while m.shape[1] > size:
+            m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
+        return m
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of each pair a number that its symmetric difference reaches at least."""
+        out = np.zeros(len(i), np.int64)
+        a, b = self.size[i], self.size[j]
+        for x, y in {*zip(a.tolist(), b.tolist())}:
+            at = np.flatnonzero((a == x) & (b == y))
+            out[at] = np.bitwise_count(self._at(i[at], min(x, y), x) ^ self._at(j[at], min(x, y), y)).sum(axis=1)
+        return out
+
+
+def _may(differ: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes may be similar: 100 * shared >= percent * union, in terms of their difference."""
+    return (100 + percent) * differ <= (100 - percent) * (na + nb)
 
 
 def _prints(least: int):
@@ -120,8 +168,9 @@ def _prints(least: int):
     return run
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
+def _signatures(column: pa.Array | list[bytes]) -> np.ndarray:
+    every = column if isinstance(column, list) else column.to_pylist()
+    return np.frombuffer(b"".join(x[: 2 * SLOTS] for x in every), np.uint16).reshape(-1, SLOTS)
 
 
 def _step(path: np.ndarray, sig: np.ndarray, used: np.ndarray, turn: int) -> np.ndarray:
@@ -167,15 +216,18 @@ def _branch(branches: int):
 
 
 def _promising(percent: int, agree: int):
-    """Pairs whose sizes and signatures allow the similarity."""
+    """Pairs whose sizes, signatures and bitmaps allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            sa, sb = b.column("sa").to_pylist(), b.column("sb").to_pylist()
             ok = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-            ok &= (_signatures(b.column("sa")) == _signatures(b.column("sb"))).sum(axis=1) >= agree
+            ok &= (_signatures(sa) == _signatures(sb)).sum(axis=1) >= agree
+            i = np.flatnonzero(ok)
+            ok[i] = _may(Bitmaps(sa + sb).differ(i, i + len(sa)), na[i], nb[i], percent)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -190,43 +242,56 @@ def _across(percent: int, agree: int):
             flat, cut = batch.column("members").flatten(), batch.column("members").offsets.to_numpy()
             cut = cut - cut[0] if len(cut) else cut
             every = [flat.field(k).to_numpy() for k in ("rep", "component", "n", "side")]
-            signed = _signatures(flat.field("sig"))
+            raw = flat.field("sig").to_pylist()
+            signed = _signatures(raw)
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 rep, comp, n, side = (x[lo:hi] for x in every)
                 sig = signed[lo:hi]
+                first, second = [], []
                 for i in range(hi - lo - 1):
                     r = slice(i + 1, None)
                     ok = (comp[r] != comp[i]) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i])) & ((side[r] != side[i]) | (side[i] == 2))
                     if ok.any():
                         j = np.flatnonzero(ok) + i + 1
                         j = j[(sig[j] == sig[i]).sum(axis=1) >= agree]
-                        a_out.append(np.minimum(rep[i], rep[j]))
-                        b_out.append(np.maximum(rep[i], rep[j]))
+                        first.append(np.full(len(j), i))
+                        second.append(j)
+                if first and (i := np.concatenate(first)).size:
+                    j, maps = np.concatenate(second), Bitmaps(raw[lo:hi])
+                    for k in range(0, len(i), 4096):
+                        x, y = i[k : k + 4096], j[k : k + 4096]
+                        ok = _may(maps.differ(x, y), n[x], n[y], percent)
+                        a_out.append(np.minimum(rep[x[ok]], rep[y[ok]]))
+                        b_out.append(np.maximum(rep[x[ok]], rep[y[ok]]))
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
 
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, shingles) of each text."""
+    for b in batches:
+        h1, h2, sets = [], [], []
+        for s in shingle_sets(b.column("text")):
+            x, y = set_hash(s)
+            h1.append(x)
+            h2.append(y)
+            sets.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sets, pa.binary())], names=["h1", "h2", "shingles"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        last, x = None, np.zeros(0, np.uint64)
         for batch in batches:
             pairs = []
-            cols = [batch.column(k) for k in ("a", "b", "a1", "a2", "b1", "b2", "ta", "tb")]
-            for i in range(batch.num_rows):
-                a, b, a1, a2, b1, b2 = (cols[k][i].as_py() for k in range(6))
-                if last[0] != (a, a1, a2) or not last_ok:  # the row before may have had another text
-                    last = ((a, a1, a2), next(shingle_sets(cols[6].slice(i, 1))))
-                    last_ok = set_hash(last[1]) == (a1, a2)
-                if not last_ok:
-                    continue
-                x, y = last[1], next(shingle_sets(cols[7].slice(i, 1)))
-                if set_hash(y) != (b1, b2):  # another row with this doc_id
-                    continue
-                both = len(x) + len(y)
-                shared = both - len(np.unique(np.concatenate((x, y))))
-                if 100 * shared >= percent * (both - shared):
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                if a != last:
+                    last, x = a, np.frombuffer(batch.column("sa")[i].as_py(), np.uint64)
+                y = np.frombuffer(batch.column("sb")[i].as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
                     pairs.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
@@ -239,13 +304,15 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, scratch: Scratch
     n = ids.count()
     if not n:
         return pairs
-    need = scratch.keep(among(reps.select("rep", "h1", "h2"), ids, "rep", "left_semi", n), "need")
-    texts = scratch.keep(among(docs.select(F.col("doc_id").alias("rep"), "text"), need, "rep", "inner", n), "texts")
-    a = texts.select(F.col("rep").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("text").alias("ta"))
-    b = texts.select(F.col("rep").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("text").alias("tb"))
-    found = pairs.join(b, "b").join(a, "a").select("a", "b", "a1", "a2", "b1", "b2", "ta", "tb")
+    need = scratch.keep(among(reps.select("rep", "first", "h1", "h2"), ids, "rep", "left_semi", n), "need")
+    some = among(docs, need.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi", n).select("text")
+    # by their hashes, not by doc_id, which may have many texts; one row for each class
+    sets = some.mapInArrow(_sets, "h1 long, h2 long, shingles binary").groupBy("h1", "h2").agg(F.min("shingles").alias("shingles"))
+    sets = scratch.keep(among(sets.withColumn("h", F.struct("h1", "h2")), need.select(F.struct("h1", "h2").alias("h"), "rep"), "h", "inner", n).select("rep", "shingles"), "sets", 250)
+    a, b = (sets.select(F.col("rep").alias(k), F.col("shingles").alias("s" + k)) for k in "ab")
+    found = pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb")
     links = scratch.keep(found.mapInArrow(_confirm(join.percent), "a long, b long"), "links", 250)
-    scratch.drop(ids, need, texts)
+    scratch.drop(ids, need, sets)
     return links
 
 
@@ -255,14 +322,15 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(live, "node")
 
 
-def groups(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
+def _judged(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
+    """(doc_id, n_shingles, h1, h2, component_id, kept) for each row of docs (doc_id, text)."""
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = scratch.keep(docs.mapInArrow(_prints(join.least_set), "doc_id long, n long, h1 long, h2 long, sig binary"), "prints")
+    # a class of equal sets is a number of its own: a doc_id with several texts is in several classes
     reps = scratch.keep(
         prints.filter("h1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("m"))
-        .select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.sig").alias("sig")), "reps",
+        .select("h1", "h2", F.monotonically_increasing_id().alias("rep"), F.col("m.doc_id").alias("first"), F.col("m.n").alias("n"), F.col("m.sig").alias("sig")), "reps",
     )
     signed = reps.filter("sig IS NOT NULL").select("rep", "n", "sig")
     paths = signed.select("rep", "sig").mapInArrow(_paths(join.trees, join.depth), "node long, rep long")
@@ -277,8 +345,7 @@ def groups(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFra
 
     told = members.select("node", "rep").join(comps, members["rep"] == comps["node"], "left").select(members["node"], "rep", F.coalesce("component", "rep").alias("component"))
     live = scratch.keep(_mixed(told).join(signed, "rep").select("node", "rep", "component", "n", "sig", "size"), "mixed")
-    scratch.drop(members, stars)
-    found = []
+    made, found = [live], []
     for _ in range(join.depth, join.deepest):
         found.append(_pairs(live.filter(F.col("size") <= join.leaf).drop("size"), ["node"], join))
         large = live.filter(F.col("size") > join.leaf)
@@ -287,6 +354,7 @@ def groups(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFra
             break
         # signatures hold SLOTS tokens, so a node that is still large here has many classes in common slots
         live = scratch.keep(_mixed(large.select("node", "rep", "component", "n", "sig").mapInArrow(_branch(join.branches), "node long, rep long, component long, n long, sig binary")), "deeper")
+        made.append(live)
     if live is not None:
         found.append(_pairs(live.filter(F.col("size") <= join.leaf).drop("size"), ["node"], join))
         found.append(_blocks(live.filter(F.col("size") > join.leaf), join))
@@ -294,15 +362,24 @@ def groups(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFra
     for f in found[1:]:
         across = across.unionByName(f)
     across = scratch.keep(across.distinct(), "across", 250)
+    scratch.drop(members, stars, *made)
     if not across.isEmpty():
         more = _verify(docs, reps, across, scratch, join)
         if not more.isEmpty():
             comps = components(links.unionByName(more), scratch)
-    classes = reps.select("h1", "h2", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    # rows that repeat a doc_id may have landed in two classes: their component is the least of both
+    scratch.drop(across, links)
+    firsts = comps.join(reps.select(F.col("rep").alias("node"), "first"), "node")
+    least = firsts.groupBy("component").agg(F.min("first").alias("least"))
+    linked = firsts.join(least, "component").select(F.col("node").alias("rep"), "least")
+    classes = reps.select("h1", "h2", "rep", "first").join(linked, "rep", "left").select("h1", "h2", F.coalesce("least", "first").alias("component_id"))
     out = prints.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(classes, ["h1", "h2"], "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def groups(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
+    return _judged(spark, docs, join).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _pairs(members: DataFrame, keys: list[str], join: Join) -> DataFrame:
@@ -313,7 +390,7 @@ def _pairs(members: DataFrame, keys: list[str], join: Join) -> DataFrame:
 
 def _blocks(members: DataFrame, join: Join) -> DataFrame:
     """All pairs of large nodes, block against block: no task holds more than about two blocks."""
-    k = F.ceil(F.col("size") / join.leaf).cast("int")
+    k = F.ceil(F.col("size") / join.block).cast("int")
     m = members.withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     m = m.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
@@ -322,12 +399,33 @@ def _blocks(members: DataFrame, join: Join) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """One row of each group of near copies, with the columns of docs: that of the least doc_id.
+    """One document of each group of near copies, with the columns of docs: that of the least doc_id.
 
-    Of rows that repeat a kept doc_id all stay: they are one document.
+    A row goes only if its own text is near one that stays: of a doc_id with several texts those stay
+    that are near no other's, and rows that repeat a doc_id with the same text stay or go together.
     """
-    gone = Scratch(spark, "near-gone").keep(groups(spark, docs, join).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return among(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(spark, "near-gone")
+    judged = scratch.keep(_judged(spark, docs, join).select("doc_id", "h1", "h2", "kept"), "judged")
+    gone = judged.filter(~F.col("kept")).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("sets"))
+    # ids that stay with one text and go with another: only of these is the text looked at
+    both = scratch.keep(judged.filter("kept").join(gone, "doc_id", "left_semi").select("doc_id").distinct(), "both")
+    ids = judged.filter(~F.col("kept")).select("doc_id").distinct()
+    n = both.count()
+    if not n:
+        return among(docs, scratch.keep(ids, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    plain = among(docs, scratch.keep(among(ids, both, "doc_id", "left_anti", n), "gone"), "doc_id", "left_anti")
+    name = clear_name(docs, "gone_sets")
+    told = plain.join(gone.join(both, "doc_id", "left_semi").withColumnRenamed("sets", name), "doc_id", "left")
+
+    @F.arrow_udf("boolean")
+    def goes(text: pa.Array, sets: pa.Array) -> pa.Array:
+        out = []
+        for s, own in zip(shingle_sets(text), sets.to_pylist()):
+            h1, h2 = set_hash(s)
+            out.append(bool(own and len(s)) and {"h1": h1, "h2": h2} in own)
+        return pa.array(out, pa.bool_())
+
+    return told.filter(~goes("text", name)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
