@@ -1,4 +1,8 @@
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import pytest
 from helpers import rows
@@ -12,7 +16,8 @@ def base(text):
     text = text or ""
     words = [w for w in text.encode().split()]
     wins = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    covered = {j for i, w in enumerate(wins) if wins.count(w) > 1 for j in (i, i + 1, i + 2)} if len(wins) < 3000 else set()
+    often = Counter(wins)
+    covered = {j for i, w in enumerate(wins) if often[w] > 1 for j in (i, i + 1, i + 2)}
     seen, dup = set(), 0
     for line in text.split("\n"):
         if line.encode().split():
@@ -28,8 +33,7 @@ def test_base_counts(spark, documents, odd):
     for r in fertility.quality_rules(docs).collect():
         f = r.fertility
         n = base(r.text)
-        if n[0] < 3000 or n[4]:
-            assert (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words) == n
+        assert (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words) == n
         assert f.base_failed == (n[0] < 50 or 100 * f.n_repeat_words > 50 * n[0])
         assert f.kept == (f.reason is None) and (not f.base_failed or not f.kept)
 
@@ -111,3 +115,89 @@ def test_weights_need_held_out_rows_out(spark, documents):
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
     a, b = toxicity.train(spark, docs, labels), toxicity.train(spark, docs, turned)
     assert a.weights == b.weights and abs(a.slope - b.slope) < 1e-6 and abs(a.offset - b.offset) < 1e-6
+
+
+def planted(n=900, seed=6):
+    """Documents of which every eighth holds insults; labels of all."""
+    rnd = random.Random(seed)
+    words = ["the", "of", "and"] * 60 + ["w" + "".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    docs = []
+    for i in range(n):
+        body = [rnd.choice(words) for _ in range(rnd.randint(20, 90))]
+        at = rnd.randrange(len(body)) if i % 8 == 0 else None
+        if at is not None:
+            body[at:at] = [rnd.choice(["grumpf", "zounk", "blarghed", "snivvel", "the", "of"]) for _ in range(4)] + ["zounk,", "Grumpf!"]
+        docs.append((i, " ".join(body), at))
+    return docs
+
+
+def test_weights_and_scores_by_brute_force(spark):
+    """Every weight, and of every text its segments, E values, evidence and score, from plain counts."""
+    docs = planted()
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(at is not None)) for i, _, at in docs], "doc_id long, quality int, toxic int")
+    t, m = toxicity.Training(), toxicity.train(spark, df, labels)
+    fold = {r.doc_id: r.f for r in df.select("doc_id", (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(t.fold_of)) == 0).cast("int").alias("f")).collect()}
+    uses, holds, total = {}, {}, [[0, 0], [0, 0]]
+    for i, text, at in docs:
+        if zlib.crc32(str(i).encode()) % 5 == 0 or fold[i]:
+            continue
+        y, mine = int(at is not None), set()
+        total[0][y] += len(text.split())
+        total[1][y] += 1
+        for w in text.split():
+            own = {f for part in re.findall(r"[^\W\d_]+", w.lower()) for f in toxicity.features(part)}
+            mine |= own
+            for f in own:
+                uses.setdefault(f, [0, 0])[y] += 1
+        for f in mine:
+            holds.setdefault(f, [0, 0])[y] += 1
+
+    def ratio(n, all_):
+        prior, rest = t.prior_share * sum(n), t.prior_share * sum(all_)
+        side = lambda y: math.log((n[y] + prior) / max(all_[y] + rest - n[y] - prior, 0.5))
+        return side(1) - side(0), 1 / (n[1] + prior) + 1 / (n[0] + prior)
+
+    told = {f: (ratio(uses[f], total[0])[0], ratio(n, total[1])[0] / ratio(n, total[1])[1] ** 0.5) for f, n in holds.items() if sum(n) >= t.least_documents}
+    want = {f: d - t.gap for f, (d, z) in told.items() if abs(z) >= t.least_z}
+    good = {f for f, w in want.items() if w > 0}
+    want |= {f: -t.gap for f, (d, z) in told.items() if abs(z) < t.least_z and d <= 0 and any(f[:n] in good and f[:n] != f for n in toxicity.BEGINNINGS)}
+    assert set(m.weights) == set(want) and all(abs(m.weights[f] - w) < 1e-9 for f, w in want.items()) and {"zounk$", "grumpf$"} <= good
+    lengths = []
+    for r in df.select("doc_id", "text", toxicity.scores(spark, F.col("text"), m).alias("t")).collect():
+        weights = [toxicity.word_weight(w.encode(), want, t.gap) for w in r.text.split()]
+        seen, once = set(), []
+        for w, x in zip(r.text.split(), weights):
+            once.append(-t.gap if x > 0 and w in seen else x)
+            seen.add(w)
+        found = sorted(brute_segments(weights))
+        passages = [(a, b, s, m.k * len(weights) * math.exp(-m.lam * s)) for a, b, s in found]
+        assert [(p.first_word, p.last_word) for p in r.t.passages] == [(a, b) for a, b, _, e in passages if e < 1]
+        assert all(abs(p.score - x[2]) < 1e-6 and abs(p.e_value / x[3] - 1) < 1e-6 for p, x in zip(r.t.passages, [x for x in passages if x[3] < 1]))
+        best = 0.0
+        for k, s in enumerate(sorted((s for *_, s in brute_segments(once)), reverse=True), 1):
+            e = m.k * len(weights) * math.exp(-m.lam * s)
+            best = max(best, k * math.log(k / e) - k + e if k > e else 0.0)
+        assert abs(r.t.evidence - best) < 1e-6 and abs(r.t.score - 1 / (1 + math.exp(-(m.slope * math.log1p(best) + m.offset)))) < 1e-9
+        at = docs[r.doc_id][2]
+        assert r.t.predicted == int(at is not None)
+        if at is not None:
+            lengths += [p.last_word - p.first_word + 1 for p in r.t.passages]
+            assert any(p.first_word < at + 6 and p.last_word >= at for p in r.t.passages)
+    assert sorted(lengths)[len(lengths) // 2] < 20
+
+
+def test_lambda_is_the_root():
+    import numpy as np
+
+    for weights, counts in (([2.0, -0.4], [30.0, 970.0]), ([5.0, 1.0, -0.4, -2.0], [1.0, 20.0, 9000.0, 300.0])):
+        lam = toxicity.root(np.array(weights), np.array(counts))
+        assert lam > 0 and abs(sum(c / sum(counts) * math.exp(lam * w) for w, c in zip(weights, counts)) - 1) < 1e-6
+
+
+def test_repetition_is_one_sign():
+    m = toxicity.Model({"zounk$": 3.0, "grumpf$": 3.0})
+    import pyarrow as pa
+
+    one, often, two = toxicity._score(pa.array(["zounk a b", "zounk zounk zounk", "zounk grumpf b"]), m).to_pylist()
+    assert one["evidence"] == often["evidence"] < two["evidence"] and often["passages"][0]["last_word"] == 2

@@ -1,20 +1,25 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-1. *Weights.* Over a bounded, hash-chosen sample of labelled rows (`Training.rows`), words and
-   word beginnings are counted in toxic and in other documents.  Their log-odds ratio under an
-   informative Dirichlet prior (the prior of a token is `prior_share` of its overall count) and
-   its z-score say which are significant; only those stay, so the model has a bound.
-2. *Segments.* A word weighs what its longest significant feature says, any other word `-gap`.
-   The Ruzzo-Tompa scan finds all maximal-scoring segments of a document in linear time.
-3. *Calibration.* By Karlin-Altschul theory the best score of a clean text of n words follows an
-   extreme-value law: a segment of score S has E = n * exp(-lam * S), lam the root of
-   sum(p * exp(lam * s)) = 1 over clean words.  A document's evidence is the sum of -ln E of its
-   segments with E < 1; a logistic curve fitted on the same sample turns it into a score.
+1. *Weights.* Over a bounded, hash-chosen sample of labelled rows (`Training.rows`), the uses of a
+   word, or a word beginning, and the documents that hold it are counted, toxic and other ones.
+   Log-odds ratios are taken under an informative Dirichlet prior (that of a token is `prior_share` of
+   its overall count).  The z-score of the ratio of documents, which one text that repeats a word
+   does not move, says what is significant; a word weighs the ratio of uses, positive or negative,
+   of its most specific significant feature, less `gap`, and any other word `-gap`, so common words
+   that slightly lean one way never add up to a passage.
+2. *Segments.* The Ruzzo-Tompa scan finds all maximal-scoring segments of a document in linear time.
+3. *Calibration*, on a fold of the sample that the weights did not see.  By Karlin-Altschul theory the
+   segments of a clean text of n words that score S or more are Poisson with the mean E = K * n *
+   exp(-lam * S): lam is the root of sum(p * exp(lam * s)) = 1 over clean words, K the least at which
+   no score is commoner among clean texts than that.  A passage is significant if its E is below 1.  A document's
+   evidence is the greatest surprise r * ln(r / E) - r + E of its r best segments at the E of the
+   r-th, a word of one text counting once; a logistic curve fitted on the same fold turns it into a score.
 
 Whole texts are scored in one pass without a shuffle.  Defined results: null and empty texts have
 no evidence and get the score of that; without labelled rows of both kinds every score is 0;
 labels of one document that disagree count as toxic; null labels are none; repeated rows score
-alike; other columns stay.
+alike; very long texts are scored whole (about 60 bytes of memory a byte of the longest); other
+columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,30 +36,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordtide.llm.common import clear_name, table
-from wordtide.llm.textvec import WordTable, cached, chunks
+from wordtide.llm.common import Scratch, clear_name, table
+from wordtide.llm.textvec import WordTable, cached, chunks, gather
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
-WHOLE = 10  # a whole word is a feature by its first so many letters and an end mark
 
 
 @dataclass(frozen=True)
 class Training:
     rows: int = 100_000  # bound on the labelled rows that are used
     held_out_of: int = 5  # rows whose crc32(doc_id as text) is 0 modulo this teach nothing
+    fold_of: int = 4  # of the others one in so many calibrates, the rest teach weights
     prior_share: float = 0.05  # weight of the prior: so much of a token's count is added to both sides
-    least_z: float = 4.0
-    least_odds: float = 3.0  # nats; what is significant but hardly telling weighs as any other word
-    most_features: int = 50_000
-    gap: float = 0.02
+    least_z: float = 3.0
+    least_documents: int = 5  # what is in fewer cannot be significant; its beginnings speak for it
+    gap: float = 0.4  # nats; a passage bridges weight / gap words that say nothing
 
 
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     lam: float = 1.0
-    gap: float = 0.02
+    k: float = 1.0
+    gap: float = 0.4
     slope: float = 0.0
     offset: float = -50.0
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
@@ -65,32 +70,29 @@ def held_out(doc_id: Column, of: int = 5) -> Column:
 
 
 def features(word: str) -> list[str]:
-    """Features of a lower-case word, most specific first."""
-    whole = word[:WHOLE] + ("$" if len(word) <= WHOLE else "")
-    return [whole] + [word[:n] for n in reversed(BEGINNINGS) if len(word) > n]
+    """Features of a lower-case word, most specific first: the word with an end mark, its beginnings."""
+    return [word + "$"] + [word[:n] for n in reversed(BEGINNINGS) if len(word) > n]
 
 
 def word_weight(word: bytes, weights: dict[str, float], gap: float) -> float:
-    """Of a run of non-space bytes: the greatest weight of the letter runs in it."""
-    best = -gap
+    """Of a run of non-space bytes: the greatest weight of the letter runs in it, or the least if none is positive."""
+    found = []
     for part in _LETTERS.findall(word.decode("utf-8", "replace").lower()):
-        for f in features(part):
-            w = weights.get(f)
-            if w is not None:
-                best = max(best, w)
-                break
-    return best
+        found.append(next((w for f in features(part) if (w := weights.get(f)) is not None), -gap))
+    best = max(found, default=-gap)
+    return best if best > 0 else min(found, default=-gap)
 
 
-def segments(positions: list[int], weights: list[float], gap: float) -> list[tuple[int, int, float]]:
+def segments(positions: list[int], weights: list[float], gap: float, sums: list[float] | None = None) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first word, last word, score): Ruzzo and Tompa, linear time.
 
-    positions and weights are of the words of positive weight; each other word weighs -gap.
+    positions and weights are of the words of positive weight; each other word weighs -gap, or what
+    sums (of all words before each position) say.
     """
     segs: list[list] = []  # start, end, sum before, sum after, index of the last segment with a smaller sum before
     total, last = 0.0, -1
-    for p, w in zip(positions, weights):
-        total -= gap * (p - last - 1)
+    for i, (p, w) in enumerate(zip(positions, weights)):
+        total = total - gap * (p - last - 1) if sums is None else sums[i]
         last = p
         seg = [p, p, total, total + w, -1]
         total += w
@@ -107,137 +109,217 @@ def segments(positions: list[int], weights: list[float], gap: float) -> list[tup
     return [(s, e, after - before) for s, e, before, after, _ in segs]
 
 
-def evidence(found: list[tuple[int, int, float]], n: int, lam: float) -> float:
-    base = math.log(max(n, 2))
-    return sum(max(0.0, lam * s - base) for _, _, s in found)
+def expected(score: float, n: int, m: Model) -> float:
+    """E: segments of at least this score that a clean text of n words has."""
+    return m.k * n * math.exp(-min(m.lam * score, 700.0))
+
+
+def evidence(scores: list[float], n: int, m: Model) -> float:
+    """The greatest surprise in nats of a text's r best segments, of all r."""
+    best = 0.0
+    for r, s in enumerate(sorted(scores, reverse=True), 1):
+        e = max(expected(s, n, m), 1e-300)
+        if r > e:
+            best = max(best, r * math.log(r / e) - r + e)
+    return best
 
 
 def _word_table(model: Model) -> WordTable:
-    weigh = lambda ws: (np.array([word_weight(w, model.weights, model.gap) for w in ws], np.float32), np.ones(len(ws), np.int32))
+    weigh = lambda ws: (np.array([word_weight(w, model.weights, model.gap) for w in ws], np.float64), np.ones(len(ws), np.int32))
     return cached(("toxicity", model.key), lambda: WordTable(weigh))
 
 
-def _found(text: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-    """(number of words, segments) of each text."""
+def _weighed(text: pa.Array, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(weight of each word, the same with -gap for a word that its text had before, first word of each text and the end)."""
     known = _word_table(model)
     for c in chunks(text):
         u = c.words()
         flat, start, _, word = known.of(u)
-        n = u.counts()
-        first = np.concatenate(([0], np.cumsum(n)))
         w = flat[start][word] if len(word) else np.zeros(0)
         hits = np.flatnonzero(w > 0)
-        cut = np.searchsorted(hits, first)
-        for i in range(c.texts):
-            if cut[i] == cut[i + 1]:
-                yield int(n[i]), []
+        new = np.zeros(len(hits), bool)
+        new[np.unique(u.doc[hits] * np.int64(len(start) + 1) + word[hits], return_index=True)[1]] = True
+        once = w.copy()
+        once[hits[~new]] = -model.gap
+        yield w, once, np.concatenate(([0], np.cumsum(u.counts())))
+
+
+def _scan(w: np.ndarray, gap: float) -> list[tuple[int, int, float]]:
+    at = np.flatnonzero(w > 0)
+    return segments(at.tolist(), w[at].tolist(), gap, (np.cumsum(w)[at] - w[at]).tolist()) if len(at) else []
+
+
+def _found(text: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]], list[float]]]:
+    """(number of words, segments, scores of the segments if a word counts once) of each text.
+
+    One word over and over is one sign, not many: repetition proves nothing, though each use is shown.
+    """
+    for w, once, first in _weighed(text, model):
+        has = np.add.reduceat(np.append(w > 0, False), first[:-1]) > 0 if len(first) > 1 else []
+        for a, b, some in zip(first[:-1].tolist(), first[1:].tolist(), has):
+            if not some or a == b:
+                yield b - a, [], []
             else:
-                at = hits[cut[i] : cut[i + 1]]
-                yield int(n[i]), segments((at - first[i]).tolist(), w[at].tolist(), model.gap)
+                found = _scan(w[a:b], model.gap)
+                same = np.array_equal(w[a:b], once[a:b])
+                yield b - a, found, [s for *_, s in (found if same else _scan(once[a:b], model.gap))]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, t: Training) -> DataFrame:
-    """(text, toxic) of the labelled rows that may teach; the labels are bounded, hence broadcast."""
+    """(text, toxic, fold) of the labelled rows that may teach; the labels are bounded, hence broadcast."""
     few = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), t.held_out_of))
         .groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(t.rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
+    fold = (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(t.fold_of)) == 0).cast("int")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic", fold.alias("fold"))
+
+
+COUNTS = "feature string, do long, dt long, uo long, ut long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, n_toxic, n_other), added up within the partition while it fits."""
-    keys, counts, words = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), []
+    """COUNTS: other and toxic documents that hold a feature, its uses in them, added up within the partition while it fits."""
+    ids: dict[str, int] = {}  # '' is the feature of every document and word
+
+    def register(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat, lens = [], []
+        for w in words:
+            own = {f for part in _LETTERS.findall(w.decode("utf-8", "replace").lower()) for f in features(part)}
+            flat += [ids.setdefault(f, len(ids)) for f in own]
+            lens.append(len(own))
+        return np.array(flat, np.int64), np.array(lens, np.int32)
 
     def out() -> pa.RecordBatch:
-        got: dict[str, list[int]] = {}
-        for w, (a, b) in zip(words, counts.tolist()):
-            for part in _LETTERS.findall(w.decode("utf-8", "replace").lower()):
-                for f in features(part):
-                    if (x := got.get(f)) is None:
-                        got[f] = [a, b]
-                    else:
-                        x[0] += a
-                        x[1] += b
-        return pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array([x[0] for x in got.values()], pa.int64()), pa.array([x[1] for x in got.values()], pa.int64())], names=["feature", "n_toxic", "n_other"])
+        n = counts[: len(ids)]
+        return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), *(pa.array(n[:, k]) for k in range(4))], names=["feature", "do", "dt", "uo", "ut"])
+
+    def empty() -> tuple[WordTable, np.ndarray]:
+        ids.clear()
+        ids[""] = 0
+        return WordTable(register, 400_000), np.zeros((1024, 4), np.int64)
 
+    known, counts = empty()
     for batch in batches:
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False) != 0
+        toxic = (batch.column("toxic").to_numpy(zero_copy_only=False) != 0).astype(np.int64)
         for c in chunks(batch.column("text")):
             u = c.words()
-            own, at, word = np.unique(u.hash, return_index=True, return_inverse=True)
-            is_toxic = toxic[c.first + u.doc]
-            add = np.stack([np.bincount(word[is_toxic], minlength=len(own)), np.bincount(word[~is_toxic], minlength=len(own))], 1)
-            pos = np.searchsorted(keys, own)
-            hit = np.zeros(len(own), bool)
-            inside = pos < len(keys)
-            hit[inside] = keys[pos[inside]] == own[inside]
-            counts[pos[hit]] += add[hit]
-            new = np.flatnonzero(~hit)
-            # words keeps the order of keys: rebuilt by one merge
-            order = np.argsort(np.concatenate((keys, own[new])), kind="stable")
-            words = (lambda both: [both[i] for i in order.tolist()])(words + u.bytes_at(at[new]))
-            keys = np.concatenate((keys, own[new]))[order]
-            counts = np.concatenate((counts, add[new]))[order]
-            if len(keys) > 300_000:
+            flat, start, length, word = known.of(u)
+            pair, uses = np.unique(u.doc * np.int64(len(start) + 1) + word, return_counts=True)  # each word of a text once
+            doc, word = np.divmod(pair, len(start) + 1)
+            doc, feature, uses = np.repeat(doc, length[word]), gather(flat, start[word], length[word]), np.repeat(uses, length[word])
+            once = np.unique(doc << 32 | feature)
+            if len(ids) > len(counts):
+                counts = np.concatenate((counts, np.zeros((2 * len(ids) - len(counts), 4), np.int64)))
+            y = toxic[c.first : c.first + c.texts]
+            counts[:, :2] += np.bincount((once & 0xFFFFFFFF) * 2 + y[once >> 32], minlength=2 * len(counts)).reshape(-1, 2)
+            counts[:, 2:] += np.bincount(feature * 2 + y[doc], weights=uses, minlength=2 * len(counts)).reshape(-1, 2).astype(np.int64)
+            counts[0] += [(y == 0).sum(), y.sum(), (y[u.doc] == 0).sum(), y[u.doc].sum()]
+            if len(ids) > 1_000_000:
                 yield out()
-                keys, counts, words = keys[:0], counts[:0], []
-    if len(keys):
-        yield out()
+                known, counts = empty()
+    yield out()
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Model:
-    sample = _sample(docs, labels, t)
-    counted = sample.mapInArrow(_count, "feature string, n_toxic long, n_other long").groupBy("feature").agg(F.sum("n_toxic").alias("yt"), F.sum("n_other").alias("yo"))
-    counted = counted.filter("yt + yo >= 5").withColumn("kind", F.when(F.col("feature").endswith("$") | (F.length("feature") == WHOLE), WHOLE).otherwise(F.length("feature")))
-    totals = counted.groupBy("kind").agg(F.sum("yt").alias("nt"), F.sum("yo").alias("no"))  # one row for each of five kinds
-    a, rest = (F.col("yt") + F.col("yo")) * t.prior_share, (F.col("nt") + F.col("no")) * t.prior_share
-    odds = lambda y, n: F.log((F.col(y) + a) / (F.col(n) + rest - F.col(y) - a))
-    kept = (
-        counted.join(F.broadcast(totals), "kind").filter("nt > 0 AND no > 0")
-        .withColumn("delta", odds("yt", "nt") - odds("yo", "no"))
-        .withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("yt") + a) + 1 / (F.col("yo") + a)))
-        .filter(F.abs("z") >= t.least_z).orderBy(F.abs("z").desc(), "feature").limit(t.most_features)
-        .select("feature", "delta", "kind", (F.col("yo") / F.col("no")).alias("p")).collect()
-    )
-    if not kept:
-        return Model()
-    # a feature that is known but not telling still stops the search for a shorter one
-    model = Model({r.feature: r.delta if r.delta >= t.least_odds else -t.gap for r in kept}, gap=t.gap)
-    # the root lam of sum(p * exp(lam * s)) = 1 over the words of clean documents
-    up = [(max(r.p, 1e-7), r.delta) for r in kept if r.kind == WHOLE and r.delta >= t.least_odds] or [(1e-4, 1.0)]
-    rest_p = max(1e-6, 1 - sum(p for p, _ in up))
-    low, high = 1e-3, 5.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        if sum(p * math.exp(min(mid * s, 300)) for p, s in up) + rest_p * math.exp(-mid * t.gap) > 1:
-            high = mid
-        else:
-            low = mid
-    model.lam = min(max(low, 0.3), 1.0)
-    model.slope, model.offset = _calibrate(spark, sample, model)
-    model.key = uuid.uuid4().hex
+    scratch = Scratch(spark, "toxicity")
+    sample = scratch.keep(_sample(docs, labels, t), "sample")
+    counted = sample.filter("fold = 0").select("text", "toxic").mapInArrow(_count, COUNTS).groupBy("feature").agg(*(F.sum(k).alias(k) for k in ("do", "dt", "uo", "ut")))
+    counted = scratch.keep(counted.filter(F.col("dt") + F.col("do") >= t.least_documents), "counts")
+    total = counted.filter("feature = ''").first()
+    model = Model(gap=t.gap)
+    if total is not None and total.dt and total.do:
+
+        def ratio(y: str, o: str) -> tuple[Column, Column]:
+            """The log-odds ratio of toxic and other counts, and its variance."""
+            prior, rest = (F.col(y) + F.col(o)) * t.prior_share, (total[y] + total[o]) * t.prior_share
+            odds = lambda n: F.log((F.col(n) + prior) / F.greatest(total[n] + rest - F.col(n) - prior, F.lit(0.5)))
+            return odds(y) - odds(o), 1 / (F.col(y) + prior) + 1 / (F.col(o) + prior)
+
+        (uses, _), (documents, variance) = ratio("ut", "uo"), ratio("dt", "do")
+        told = counted.filter("feature <> ''").select("feature", uses.alias("delta"), (documents / F.sqrt(variance)).alias("z"))
+        # a significant feature is in at least so many documents of a bounded sample: their number is bounded
+        model.weights = {r.feature: r.delta - t.gap for r in told.filter(F.abs("z") >= t.least_z).select("feature", "delta").toLocalIterator()}
+        shorter = [f for f, w in model.weights.items() if w > 0 and not f.endswith("$")]
+        if shorter:  # what is known and no sign of toxicity still stops the search for a beginning that is one
+            begins = F.array(*(F.substring("feature", 1, n) for n in BEGINNINGS))
+            stops = told.filter((F.abs("z") < t.least_z) & (F.col("delta") <= 0)).select("feature", F.explode(F.array_distinct(begins)).alias("begin"))
+            stops = stops.filter("begin <> feature").join(F.broadcast(spark.createDataFrame([(f,) for f in shorter], "begin string")), "begin", "left_semi")
+            model.weights |= {r.feature: -t.gap for r in stops.select("feature").distinct().toLocalIterator()}
+    model.lam, model.k, model.slope, model.offset = _calibrate(spark, sample, model)
+    scratch.drop(sample, counted)
     return model
 
 
-def _calibrate(spark: SparkSession, sample: DataFrame, model: Model) -> tuple[float, float]:
-    """Slope and offset of the logistic curve of the label over log(1 + evidence)."""
+def root(weights: np.ndarray, counts: np.ndarray) -> float:
+    """lam > 0 with sum(p * exp(lam * s)) = 1 of scores whose mean is negative; an unseen greatest score counts once."""
+    p = counts / counts.sum()
+    low, high = 0.0, 1.0
+    over = lambda lam: np.log(p) + lam * weights
+    total = lambda lam: float((m := over(lam).max()) + np.log(np.exp(over(lam) - m).sum()))
+    while total(high) < 0 and high < 1e6:
+        low, high = high, 2 * high
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (low, mid) if total(mid) > 0 else (mid, high)
+    return high
+
+
+def _calibrate(spark: SparkSession, sample: DataFrame, model: Model) -> tuple[float, float, float, float]:
+    """(lam, K, slope, offset): the law of clean segments, and the logistic curve of the label over log(1 + evidence).
+
+    Of the fold that weights did not see; of the whole sample where that fold lacks one kind of label.
+    """
+    kinds = {(r.fold, r.toxic): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
+    if not all(any(kinds.get((f, y)) for f in (0, 1)) for y in (0, 1)) or not any(w > 0 for w in model.weights.values()):
+        return model.lam, model.k, 0.0, -50.0
+    if kinds.get((1, 0)) and kinds.get((1, 1)):
+        sample = sample.filter("fold = 1")
+    sample = sample.select("text", "toxic")
     shared = spark.sparkContext.broadcast(model)
 
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def law(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(kind, score in hundredths, n): of clean texts how many words (0) and segments (1) score so."""
         m, counts = shared.value, {}
         for b in batches:
-            for (n, found), y in zip(_found(b.column("text"), m), b.column("toxic").to_pylist()):
-                k = (round(8 * math.log1p(evidence(found, n, m.lam))), int(y))
-                counts[k] = counts.get(k, 0) + 1
+            clean = b.column("text").filter(pa.array(b.column("toxic").to_numpy(zero_copy_only=False) == 0))
+            for _, once, _ in _weighed(clean, m):
+                for s, n in zip(*(x.tolist() for x in np.unique(np.round(100 * once).astype(np.int64), return_counts=True))):
+                    counts[0, s] = counts.get((0, s), 0) + n
+            for _, _, found in _found(clean, m):
+                for s in found:
+                    counts[1, round(100 * s)] = counts.get((1, round(100 * s)), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["kind", "score", "n"])
+
+    got = sample.mapInArrow(law, "kind int, score long, n long").groupBy("kind", "score").agg(F.sum("n").alias("n")).collect()
+    words = {r.score / 100: r.n for r in got if r.kind == 0}
+    found = {r.score / 100: r.n for r in got if r.kind == 1}
+    top = max(model.weights.values())
+    words[top] = words.get(top, 0) + 1
+    words[-model.gap] = words.get(-model.gap, 0) + 1
+    n_words = sum(words.values())
+    lam = root(np.array(list(words)), np.array(list(words.values()), float))
+    # the least K at which no score that one word reaches is commoner among clean texts than the law says; beyond
+    # lie texts that repeat one line over and over, whose words are not drawn apart
+    above, k = sum(n for s, n in found.items() if s > top), 0.0
+    for score in sorted({s for s in found if s <= top} | {top}, reverse=True):
+        above += found.get(score, 0)
+        k = max(k, (above + 1) / n_words * math.exp(min(lam * score, 600.0)))
+    shared.unpersist()
+    law_model = spark.sparkContext.broadcast(Model(model.weights, lam, k, model.gap, key=model.key))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, counts = law_model.value, {}
+        for b in batches:
+            for (n, _, found), y in zip(_found(b.column("text"), m), b.column("toxic").to_pylist()):
+                key = (round(8 * math.log1p(evidence(found, n, m))), int(y))
+                counts[key] = counts.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["step", "y", "n"])
 
     rows = sample.mapInArrow(steps, "step int, y int, n long").groupBy("step", "y").agg(F.sum("n").alias("n")).collect()
     x, y, n = (np.array([float(r[k]) for r in rows]) for k in range(3))
     x = x / 8
-    if not (n[y == 1].sum() and n[y == 0].sum()):
-        return 0.0, -50.0
     w = np.zeros(2)
     for _ in range(100):  # Newton steps of a slightly damped logistic regression
         X = np.stack([x, np.ones_like(x)], 1)
@@ -248,7 +330,7 @@ def _calibrate(spark: SparkSession, sample: DataFrame, model: Model) -> tuple[fl
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    return lam, k, float(w[0]), float(w[1])
 
 
 TYPE = T.StructType([
@@ -260,11 +342,11 @@ _PASSAGES = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int
 
 def _score(text: pa.Array, m: Model) -> pa.Array:
     score, proof, passages = [], [], []
-    for n, found in _found(text, m):
-        e = evidence(found, n, m.lam)
+    for n, found, once in _found(text, m):
+        e = evidence(once, n, m)
         proof.append(e)
         score.append(1 / (1 + math.exp(-min(max(m.slope * math.log1p(e) + m.offset, -50.0), 50.0))))
-        passages.append([{"first_word": s, "last_word": t, "score": x, "e_value": n * math.exp(-min(m.lam * x, 700))} for s, t, x in found if m.lam * x > math.log(max(n, 2))])
+        passages.append([{"first_word": s, "last_word": t, "score": x, "e_value": e} for s, t, x in found if (e := expected(x, n, m)) < 1])
     arrays = [pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(proof, pa.float64()), pa.array(passages, _PASSAGES)]
     return pa.StructArray.from_arrays(arrays, names=[f.name for f in TYPE.fields])
 
