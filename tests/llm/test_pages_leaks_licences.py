@@ -59,6 +59,70 @@ def test_pages_give_their_articles(spark, sf):
     assert sum(r.text.split("\n", 1)[-1] in have for r in got) >= 0.9 * len(got)
 
 
+def counted_by_hand(pages, site):
+    """page -> hashes: the template of each host, from plain dictionaries."""
+    trees, bodies, where = {}, {}, {}
+    for i, (host, source) in enumerate(pages):
+        if source:
+            root = html_text.parse(source)
+            html_text.measure(root)
+            trees[i] = html_text.candidates(root)
+            bodies[i] = html_text._text(root, frozenset(), html_text.Site())
+            for h, part in trees[i].items():
+                where.setdefault((host, h), {}).setdefault(bodies[i], []).append(part)
+    size = {}
+    for i in trees:
+        size.setdefault(pages[i][0], set()).add(bodies[i])
+    out = {}
+    for i in trees:
+        host = pages[i][0]
+        least = max(site.least_pages, min(site.enough_pages, -(-len(size[host]) * 2 // 10)))
+        out[i] = {h for h in trees[i] if len(where[host, h]) >= least and sum(map(max, where[host, h].values())) / len(where[host, h]) <= site.most_text}
+    return out
+
+
+def made_pages(seed=12):
+    """Pages of four hosts with menus, notices, adverts and footers of random words under names that say nothing."""
+    rnd = random.Random(seed)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    pages, want = [], []
+    for i in range(80):
+        menu = "<div class=q1><ul>" + "".join(f"<li><a href=/{k}>{text(1)}</a></li>" for k in range(rnd.randint(3, 8))) + "</ul></div>"
+        bar = f"<div class=q2>{text(rnd.randint(4, 9))} <b>{text(1)}</b></div>" if i % 3 else ""
+        foot = f"<section class=q3><p>{text(5)}</p></section>"
+        parts = [text(rnd.randint(20, 60)) for _ in range(rnd.randint(2, 6))]
+        story = "".join(f"<p>{x}</p>" for x in parts[:-1]) + f'<div class="side-effects"><p>{parts[-1]}</p></div>'
+        pages.append((i, f"http://h{i % 4}.com/{i}", f"<body>{menu}{bar}<div class=z{i % 2}>{story}</div>{foot}</body>"))
+        want.append("\n".join(parts))
+    return pages, want
+
+
+def test_templates_are_those_counted_by_hand(spark):
+    pages, want = made_pages()
+    pages += [(200 + i, p[1], p[2]) for i, p in enumerate(pages[:5])] + [(300, None, None), (301, "http://h1.com/x", "")]
+    site = html_text.Site(names=False, articles=False)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(spark, df, Scratch(spark, "t"), site).collect()}
+    hosts = [((p[1] or "").split("/")[2] if p[1] else "", p[2]) for p in pages]
+    hand = counted_by_hand(hosts, site)
+    assert got == {p[0]: html_text.extract(p[2], frozenset(hand.get(i, ())), site) for i, p in enumerate(pages)}
+    assert [got[i] for i in range(80)] == want
+
+
+def test_templates_alone_find_the_articles(spark):
+    """Without names, and without article elements, at least 90 % of the pages give the same text."""
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    whole, alone = ({r.page_id: r.text for r in html_text.main_text(spark, df, Scratch(spark, "t"), s).collect()} for s in (html_text.Site(), html_text.Site(names=False, articles=False)))
+    assert sum(alone[k] == t for k, t in whole.items()) >= 0.9 * len(whole)
+
+
+def test_names_inside_an_article_are_its_topic():
+    for name in ("side-effects", "legal-history", "popular-culture", "form-of-life"):
+        assert html_text.extract(f'<article><p>a</p><div class="{name}"><p>b</p></div><section id="{name}">c</section></article>') == "a\nb\nc"
+    for name in ("ad", "ad-300x250", "reader-comments", "shareButtons", "cookie_notice", "related-posts"):
+        assert html_text.extract(f'<article><p>a</p><div class="{name}"><p>b</p></div></article>') == "a"
+
+
 def test_lcs():
     rnd = random.Random(1)
 

@@ -1,12 +1,17 @@
 """Main text of web pages by site template removal.
 
 1. A tolerant parser builds each page's element tree (implied end tags, void and raw-text elements,
-   unclosed and stray tags).  Every container's subtree gets a 64-bit hash of its tags and texts.
-2. Spark counts, for each host, with how many distinct texts a subtree occurs: the copies of one
+   unclosed and stray tags).  Every container's subtree gets two 64-bit hashes: one of its tags and
+   texts, and a *shape* of its tags and classes with texts masked, inline markup left out and equal
+   children taken once, so menus of other entries and notices of other words are alike.
+2. Spark counts, for each host, on how many distinct texts a subtree occurs: the copies of one
    article are one page.  Subtrees on at least `least_pages` such pages and on `share` of the host's
-   (or `enough_pages`) are the site's template.
-3. Each page is read again: template subtrees go, so do elements whose tag, role or class names
-   them menu, header, footer, sidebar, notice, advert, form or comments; of the rest the article
+   (or `enough_pages`) are the site's template.  Shapes are counted only beside the page's densest
+   branch (the chain of containers that hold half of its text), and are template only if they hold at
+   most `most_text` of their pages' text on average, so the article's own parts are never candidates.
+3. Each page is read again: template subtrees go.  Names break the tie where counting says nothing
+   (a lone page, a comment in the article): elements whose tag, role or class as a whole names them
+   menu, header, footer, sidebar, notice, advert, form or comments go too.  Of the rest the article
    (or main element, or else the body without link lists) gives the text, block by block.
 
 Whatever stands in an article or main element is its text even if it recurs; elsewhere only
@@ -16,7 +21,8 @@ A hot host is no hot task: counting is pre-aggregated by (host, hash), and what
 host's template comes by joins on (host, hash) and on the page, never as a host's whole template.
 
 Defined results: null or empty html gives an empty text; a null url is the host ''; repeated rows
-are one page of the host; rows that repeat a page_id are each extracted; no rows give no rows.
+are one page of the host; rows that repeat a page_id are each extracted; very long pages are parsed
+whole (a tree of one page in memory); no rows give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +45,10 @@ class Site:
     least_pages: int = 3
     share: float = 0.2
     enough_pages: int = 50
+    most_text: float = 0.3  # a shape that holds more of its pages' text is no template
     link_density: float = 0.5  # without an article, blocks with a larger share of link text go
+    names: bool = True  # whether tags, roles and classes break ties
+    articles: bool = True  # whether article and main elements are the text
 
 
 _TOKEN = re.compile(
@@ -57,6 +66,7 @@ _BLOCK = frozenset(
 )
 _CLOSES_P = _BLOCK - frozenset("body html legend li dd dt option optgroup tr tbody thead tfoot caption".split())
 _CONTAINER = frozenset("div section ul ol dl table aside nav footer header form figure details blockquote center fieldset menu dialog".split())
+_DENSE = _CONTAINER | frozenset("html body article main center tbody tr td".split())
 _INLINE_END = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
 _SCOPE = frozenset("html table td th caption button object template marquee applet".split())
 #: An opening tag of the key ends an open element of these, if none of the second stands between.
@@ -66,26 +76,44 @@ _ENDS = {
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "body": (("head",), ()),
 }
 _DROP = frozenset("head title script style noscript template iframe object embed applet svg math canvas audio video map nav footer aside form button select datalist input textarea menu dialog search noembed noframes frameset".split())
+_UNSEEN = frozenset("head title script style noscript template iframe object embed noembed noframes".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
 _NAMES = frozenset(
-    "nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars side rail widget widgets footer foot bottombar topbar masthead siteheader "
+    "nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars widget widgets footer bottombar topbar masthead siteheader "
     "sitefooter cookie cookies consent gdpr ccpa notice notices notification notifications alert alerts popup popover modal overlay lightbox interstitial paywall newsletter subscribe "
     "subscription signup signin login register ad ads adv advert adverts advertisement advertisements advertising adsense adslot banner banners sponsor sponsors sponsored "
     "sponsorship promo promos promotion promotions outbrain taboola social share sharing sharebar shares addthis related relateds recommended recommendation recommendations "
-    "trending popular readmore morefrom comment comments commentlist disqus respond reply replies discussion pagination pager paging skip skiplink toolbar copyright colophon "
-    "legal search searchform searchbox form tagcloud hidden".split()
+    "readmore morefrom comment comments commentlist disqus respond replies discussion pagination pager paging skiplink toolbar copyright colophon searchform searchbox tagcloud hidden".split()
+)
+#: These name boilerplate only outside of an article: inside they may be what it is about.
+_OUTSIDE = frozenset("header head top side rail foot legal search form trending popular reply skip hamburger".split())
+#: What may stand beside a name in a class: with any other word the class is not taken for boilerplate.
+_GENERIC = frozenset(
+    "site page web main global local primary secondary reader readers user users visitor left right top bottom upper lower inner outer box boxes block blocks section sections wrap wrapper container "
+    "list lists item items area areas slot slots unit units bar bars panel panels group holder region zone module component content body row col column header head title links link post posts story "
+    "article articles js ui id my the is sticky fixed float mobile desktop small large big mini full new more bottombar first last form icons icon buttons button text message messages policy law info "
+    "floating side thread threads entry entries feed center middle x".split()
 )
-_HEADS = frozenset("header head top".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def _names_boilerplate(name: str, in_article: bool) -> bool:
+    """Whether a class or id as a whole names boilerplate: all of its parts are names or generic, one is a name."""
+    known = _NAMES if in_article else _NAMES | _OUTSIDE
+    if re.sub(r"[-_\d]+", "", name).lower() in known:
+        return True
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    return any(p in known for p in parts) and all(p in known or p in _GENERIC for p in parts)
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "items", "parent", "hash", "size", "links", "main")
+    __slots__ = ("tag", "attrs", "items", "parent", "hash", "shape", "size", "links", "main", "beside")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
-        self.hash = self.size = self.links = 0
+        self.hash = self.shape = self.size = self.links = 0
         self.main = False  # holds an article or main element
+        self.beside = False  # stands beside the densest branch
 
 
 def parse(source: str) -> Node:
@@ -167,7 +195,7 @@ def _is_main(n: Node) -> bool:
 
 
 def measure(root: Node) -> None:
-    """hash, size (characters of text), links (those in links) and main of every element, bottom up."""
+    """hash, shape, size (characters of text), links (those in links) and main of every element, bottom up; then beside."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
@@ -176,21 +204,64 @@ def measure(root: Node) -> None:
     for n in reversed(order):
         h = xxhash.xxh64(n.tag)
         n.main = _is_main(n)
+        parts: dict = {}  # distinct parts of the shape, in order
         for x in n.items:
             if isinstance(x, str):
                 words = x.split()
                 if words:
                     h.update("\x01" + " ".join(words))
                     n.size += sum(map(len, words))
+                    parts["text"] = None
             else:
                 h.update(b"\x02" + x.hash.to_bytes(8, "little"))
                 n.size += x.size
                 n.links += x.links
                 n.main |= x.main
+                if x.tag == "a" or x.tag not in _INLINE_END and x.tag not in _VOID and x.size:
+                    parts[x.shape] = None
+                elif x.size:
+                    parts["text"] = None
         h.update(b"\x03")
         n.hash = h.intdigest()
+        n.shape = _shape(n, parts)
         if n.tag == "a":
             n.links = n.size
+    _mark_beside(root)
+
+
+def _mark_beside(root: Node) -> None:
+    """Marks the containers beside the densest branch: the chain of containers that hold half of the page's text."""
+    n = root
+    while True:
+        kids = [x for x in n.items if not isinstance(x, str) and x.size]
+        dense = [x for x in kids if 2 * x.size >= root.size and x.tag in _DENSE]
+        if not dense and n.tag not in ("html", "body"):
+            return  # the main container: its own parts are the text
+        for x in kids:
+            x.beside = x not in dense and x.tag in _CONTAINER
+        if not dense:
+            return
+        n = dense[0]
+
+
+def _remeasure(root: Node) -> None:
+    """size, links and beside again, of a tree that has lost some of its elements."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        n.beside = False
+        order.append(n)
+        stack += [x for x in n.items if not isinstance(x, str)]
+    for n in reversed(order):
+        n.size = sum(sum(map(len, x.split())) if isinstance(x, str) else x.size for x in n.items)
+        n.links = n.size if n.tag == "a" else sum(x.links for x in n.items if not isinstance(x, str))
+    _mark_beside(root)
+
+
+def _shape(n: Node, parts: dict) -> int:
+    a = _attributes(n) if n.attrs and n.tag in _CONTAINER else {}
+    own = " ".join(sorted({re.sub(r"\d+", "", w).lower() for k in ("class", "id", "role") for w in a.get(k, "").split()}))
+    return xxhash.xxh64_intdigest(f"shape\x01{n.tag}\x01{own}\x01" + "\x02".join(map(str, parts)))
 
 
 def named_boilerplate(n: Node, in_article: bool) -> bool:
@@ -207,14 +278,12 @@ def named_boilerplate(n: Node, in_article: bool) -> bool:
         return False
     if a.get("role", "").lower() in _ROLES:
         return True
-    parts = {p.lower() for p in _PARTS.findall(a.get("class", "") + " " + a.get("id", ""))}
-    parts |= {w.replace("-", "").replace("_", "").lower() for w in (a.get("class", "") + " " + a.get("id", "")).split()}
     if n.tag not in _BLOCK and n.tag not in ("span", "ins", "a"):
         return False
-    return bool(parts & _NAMES) or not in_article and bool(parts & _HEADS) and n.tag != "p" and not re.fullmatch("h[1-6]", n.tag)
+    return any(_names_boilerplate(w, in_article or n.tag == "p" or re.fullmatch("h[1-6]", n.tag) is not None) for w in (a.get("class", "") + " " + a.get("id", "")).split())
 
 
-def prune(root: Node, template: frozenset[int] | set[int]) -> None:
+def prune(root: Node, template: frozenset[int] | set[int], site: Site = Site()) -> None:
     """Takes out the template's subtrees and what names itself boilerplate."""
     stack = [(root, False)]
     while stack:
@@ -224,13 +293,21 @@ def prune(root: Node, template: frozenset[int] | set[int]) -> None:
             if isinstance(x, str):
                 keep.append(x)
                 continue
-            if named_boilerplate(x, inside):
+            if x.tag in _UNSEEN or site.names and named_boilerplate(x, inside):
                 continue
-            if template and not inside and x.hash in template and x.tag in _CONTAINER and not x.main:
+            if template and not inside and x.tag in _CONTAINER and not (x.main and site.articles) and x.hash in template:
                 continue
             keep.append(x)
-            stack.append((x, inside or _is_main(x)))
+            stack.append((x, inside or site.articles and _is_main(x)))
         n.items = keep
+    if template:  # shapes only once repeated texts are gone, which may have been the densest branch
+        _remeasure(root)
+        stack = [root]
+        while stack:
+            n = stack.pop()
+            n.items = [x for x in n.items if isinstance(x, str) or not (x.beside and x.shape in template) or x.main and site.articles]
+            if not (site.articles and _is_main(n)):
+                stack += [x for x in n.items if not isinstance(x, str)]
 
 
 def roots(root: Node) -> list[Node]:
@@ -307,8 +384,8 @@ def extract(source: str | None, template: frozenset[int] | set[int] = frozenset(
 
 def _text(root: Node, template: frozenset[int] | set[int], site: Site) -> str:
     """The text of a measured tree, which is cut down to it."""
-    prune(root, template)
-    found = roots(root)
+    prune(root, template, site)
+    found = roots(root) if site.articles else []
     if not found:
         _without_link_lists(root, site.link_density)
         found = [root]
@@ -319,40 +396,47 @@ def _signed(h: int) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def _containers(site: Site):
-    """(host, page, body, hash) of the distinct container subtrees of each page, and one row without a hash; body names its text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            host, page, body, out = [], [], [], []
-            for h, p, source in zip(b.column("host").to_pylist(), b.column("page").to_pylist(), b.column("html")):
-                source = source.as_py()
-                if not source:
-                    continue
-                root = parse(source)
-                measure(root)
-                seen, stack = set(), [root]
-                while stack:
-                    n = stack.pop()
-                    if n.tag in _CONTAINER and n.size:
-                        seen.add(n.hash)
-                    stack += [x for x in n.items if not isinstance(x, str)]
-                host += [h] * (len(seen) + 1)
-                page += [p] * (len(seen) + 1)
-                body += [_signed(xxhash.xxh64_intdigest(_text(root, frozenset(), site)))] * (len(seen) + 1)
-                out += [*map(_signed, seen), None]
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(body, pa.int64()), pa.array(out, pa.int64())], names=["host", "page", "body", "hash"])
-
-    return run
+def candidates(root: Node) -> dict[int, float]:
+    """By hash the distinct container subtrees of a measured tree (0.0), and the shapes beside its densest branch (their share of the text)."""
+    seen: dict[int, float] = {}
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if n.tag in _CONTAINER and n.size:
+            seen[n.hash] = 0.0
+            if n.beside:
+                seen[n.shape] = seen.get(n.shape, 0.0) + n.size / root.size
+        stack += [x for x in n.items if not isinstance(x, str)]
+    return seen
+
+
+def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, body, hash, part) of the candidates of each page, and one row without a hash; body names its text."""
+    for b in batches:
+        host, page, body, out, part = [], [], [], [], []
+        for h, p, source in zip(b.column("host").to_pylist(), b.column("page").to_pylist(), b.column("html")):
+            source = source.as_py()
+            if not source:
+                continue
+            root = parse(source)
+            measure(root)
+            seen = candidates(root)
+            host += [h] * (len(seen) + 1)
+            page += [p] * (len(seen) + 1)
+            body += [_signed(xxhash.xxh64_intdigest(_text(root, frozenset(), Site())))] * (len(seen) + 1)
+            out += [*map(_signed, seen), None]
+            part += [*seen.values(), 0.0]
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(body, pa.int64()), pa.array(out, pa.int64()), pa.array(part, pa.float64())], names=["host", "page", "body", "hash", "part"])
 
 
 def templates(spark: SparkSession, pages: DataFrame, scratch: Scratch, site: Site = Site()) -> DataFrame:
     """(page, hashes) of the pages (page, host, html) that hold subtrees of their host's template."""
-    found = scratch.keep(pages.select("host", "page", "html").mapInArrow(_containers(site), "host string, page long, body long, hash long"), "subtrees")
+    found = scratch.keep(pages.select("host", "page", "html").mapInArrow(_containers, "host string, page long, body long, hash long, part double"), "subtrees")
     # copies of one text are one page of the host
-    counted = found.select("host", "hash", "body").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    once = found.groupBy("host", "hash", "body").agg(F.max("part").alias("part"))
+    counted = once.groupBy("host", "hash").agg(F.count("*").alias("n"), F.avg("part").alias("part"))
     size = counted.filter("hash IS NULL").select("host", F.col("n").alias("host_pages"))
-    often = counted.filter("hash IS NOT NULL").filter(F.col("n") >= site.least_pages)
+    often = counted.filter("hash IS NOT NULL").filter((F.col("n") >= site.least_pages) & (F.col("part") <= site.most_text))
     often = often.join(size, "host").filter(F.col("n") >= F.least(F.lit(site.enough_pages), F.ceil(F.col("host_pages") * site.share))).select("host", "hash")
     return found.join(often, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("hashes"))
 
