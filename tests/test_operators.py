@@ -61,10 +61,16 @@ def test_indexer(spark):
     p = indexer.postings(docs)
     assert rows(p.filter("doc_id <> 1")) == [("x", 2), ("y", 2)]
     new = indexer.postings(spark.createDataFrame([(1, "q1 q2 q3 q4")], "doc_id long, text string"))
-    gone, fresh = indexer.diff(p, new)
+    one = spark.createDataFrame([(1,)], "doc_id long")
+    gone, fresh = indexer.diff(p, new, one)
     assert rows(gone, "token") == [("q5",), ("q6",), ("q7",)] and rows(fresh, "token") == [("q1",), ("q2",)]
-    assert rows(indexer.update(p, new).filter("doc_id = 1"), "token") == [("q1",), ("q2",), ("q3",), ("q4",)]
+    assert rows(indexer.update(p, new, one).filter("doc_id = 1"), "token") == [("q1",), ("q2",), ("q3",), ("q4",)]
     assert rows(indexer.update(p, new.limit(0), spark.createDataFrame([(1,)], "doc_id long"))) == [("x", 2), ("y", 2)]
+    gone, fresh = indexer.diff(p, new.limit(0), one)
+    assert rows(gone, "token") == [(f"q{i}",) for i in range(3, 8)] and fresh.count() == 0
+    after = spark.createDataFrame([(1, ""), (2, None), (5, "z z")], "doc_id long, text string")
+    gone, fresh = indexer.diff_texts(docs, after)
+    assert rows(gone, "doc_id", "token") == [(1, f"q{i}") for i in range(3, 8)] + [(2, "x"), (2, "y")] and rows(fresh, "doc_id", "token") == [(5, "z")]
     assert rows(indexer.add(p, p)) == rows(p) == rows(indexer.merged(p.unionByName(p)))
     assert rows(indexer.remove_tokens(p, post(spark, ("x", 2), ("q3", 9))).filter("doc_id = 2")) == [("y", 2)]
     assert rows(indexer.remove_documents(p, spark.createDataFrame([(1,)], "doc_id long"))) == [("x", 2), ("y", 2)]
@@ -101,7 +107,35 @@ def test_replay_is_sequential(spark, seed):
     assert rows(replay.replay(df)) == sorted((k, t) for k, s in state.items() for t in s)
     # operations that later ones make void change nothing
     assert rows(replay.replay(replay.latest(df))) == rows(replay.replay(df))
-    assert replay.events(df).count() == sum(1 for r in log if r[3])
+
+
+@pytest.mark.parametrize("seed,block", [(0, 1 << 20), (1, 7), (2, 1)])
+def test_events_are_those_of_the_multimap(spark, monkeypatch, seed, block):
+    """Guards and payloads of add, remove, remove_all and update (remove, then add), one operation after another."""
+    monkeypatch.setattr(replay, "BLOCK", block)
+    rnd = random.Random(seed)
+    log, want, state = [], [], {}
+    for seq in range(400):
+        op, k = rnd.choice(["add", "add", "remove", "remove", "update", "remove_all"]), f"k{rnd.randrange(8)}"
+        tokens = [] if op == "remove_all" else sorted({f"t{rnd.randrange(5)}" for _ in range(rnd.randint(0, 3))})
+        log.append((seq, k, op, tokens))
+        old = state.setdefault(k, set())
+        if op == "add":
+            told = [("added", tokens)]
+            state[k] = old | set(tokens)
+        elif op == "remove":
+            told = [("removed", tokens if old else [])]
+            state[k] = old - set(tokens)
+        elif op == "remove_all":
+            told = [("removed", sorted(old))]
+            state[k] = set()
+        else:
+            told = [("removed", sorted(old - set(tokens))), ("added", sorted(set(tokens) - old))]
+            state[k] = set(tokens)
+        want += [(seq, kind, k, v) for kind, v in told if v]
+    df = spark.createDataFrame(log + [(1000, None, "add", ["x"]), (1001, "k0", "add", None)], "seq long, key string, op string, tokens array<string>")
+    assert sorted((r.seq, r.kind, r.key, r["values"]) for r in replay.events(df).collect()) == sorted(want)
+    assert rows(replay.replay(df)) == sorted((k, t) for k, s in state.items() for t in s)
 
 
 def test_set_algebra(spark):

@@ -41,20 +41,33 @@ def remove_tokens(old: DataFrame, gone: DataFrame) -> DataFrame:
     return old.join(gone.select("token", "doc_id"), ["token", "doc_id"], "left_anti").select("token", "doc_id")
 
 
-def diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(removed, added) of the documents of new against their state in old."""
-    mine = old.join(new.select("doc_id").distinct(), "doc_id", "left_semi").select("token", "doc_id")
+def diff(old: DataFrame, new: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(removed, added) of the documents of changed (doc_id); those without a row in new have become empty."""
+    ids = changed.select("doc_id").distinct()
+    mine = old.join(ids, "doc_id", "left_semi").select("token", "doc_id")
+    after = new.join(ids, "doc_id", "left_semi").select("token", "doc_id")
     on = ["token", "doc_id"]
-    return mine.join(new, on, "left_anti"), new.select(*on).join(mine, on, "left_anti")
+    return mine.join(after, on, "left_anti"), after.join(mine, on, "left_anti")
 
 
-def update(old: DataFrame, new: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-    """The documents of changed (doc_id; else those of new) have the tokens of new alone.
+def diff_texts(before: DataFrame, after: DataFrame, text: str = "text", tokenizer: Tokenizer = text_tokens) -> tuple[DataFrame, DataFrame]:
+    """X4 of whole documents (doc_id, text), one row each: (removed, added) of those of after, from one join on doc_id.
+
+    A document that is not in before is new; one whose text is null or empty loses all its tokens.
+    """
+    was = before.select("doc_id", tokenizer(F.col(text)).alias("was"))
+    both = after.select("doc_id", tokenizer(F.col(text)).alias("now")).join(was, "doc_id", "left").withColumn("was", F.coalesce("was", F.array().cast("array<string>")))
+    tell = lambda a, b: both.select(F.explode(F.array_except(a, b)).alias("token"), "doc_id")
+    return tell("was", "now"), tell("now", "was")
+
+
+def update(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
+    """The documents of changed (doc_id) have the tokens of new alone, none if it has no row of them.
 
     The same result as removing and adding the difference, without computing it.
     """
-    ids = (changed if changed is not None else new).select("doc_id").distinct()
-    return remove_documents(old, ids).unionByName(new.select("token", "doc_id"))
+    ids = changed.select("doc_id").distinct()
+    return remove_documents(old, ids).unionByName(new.join(ids, "doc_id", "left_semi").select("token", "doc_id"))
 
 
 def switch(docs: DataFrame, swaps: DataFrame) -> DataFrame:

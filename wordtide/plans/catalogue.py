@@ -196,32 +196,34 @@ def flush(spark, sf_dir):
     return multimap.flush(_postings(spark, sf_dir)).select("doc_id", "token")
 
 
-def _next_version(spark, sf_dir):
-    """Each document with the text of the next one."""
+def _versions(spark, sf_dir):
+    """The documents, and a later version of some: every one with the text of the next, each seventh emptied."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     new = docs.select((F.col("doc_id") - 1).alias("doc_id"), "text").join(docs.select("doc_id"), "doc_id", "left_semi")
-    return indexer.postings(docs), indexer.postings(new)
+    return docs, new.withColumn("text", F.when(F.col("doc_id") % 7 != 0, F.col("text")).otherwise(""))
 
 
-_N = f"n AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM (SELECT d.doc_id - 1 AS doc_id, d.text FROM documents d SEMI JOIN documents e ON e.doc_id = d.doc_id - 1))"
+_C = "c AS (SELECT d.doc_id - 1 AS doc_id, CASE WHEN (d.doc_id - 1) % 7 <> 0 THEN d.text ELSE '' END AS text FROM documents d SEMI JOIN documents e ON e.doc_id = d.doc_id - 1)"
+_N = f"{_C}, n AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM c)"
 
 
 @_query(f"WITH {_P}, {_N} SELECT token, doc_id FROM n EXCEPT SELECT token, doc_id FROM p")
 def update_added(spark, sf_dir):
     """What an update adds."""
-    return indexer.diff(*_next_version(spark, sf_dir))[1]
+    return indexer.diff_texts(*_versions(spark, sf_dir))[1]
 
 
-@_query(f"WITH {_P}, {_N} SELECT token, doc_id FROM p WHERE doc_id IN (SELECT doc_id FROM n) EXCEPT SELECT token, doc_id FROM n")
+@_query(f"WITH {_P}, {_N} SELECT token, doc_id FROM p WHERE doc_id IN (SELECT doc_id FROM c) EXCEPT SELECT token, doc_id FROM n")
 def update_removed(spark, sf_dir):
-    """What an update removes."""
-    return indexer.diff(*_next_version(spark, sf_dir))[0]
+    """What an update removes; an emptied document loses all."""
+    return indexer.diff_texts(*_versions(spark, sf_dir))[0]
 
 
-@_query(f"WITH {_P}, {_N} SELECT token, doc_id FROM n UNION ALL SELECT token, doc_id FROM p WHERE doc_id NOT IN (SELECT doc_id FROM n)")
+@_query(f"WITH {_P}, {_N} SELECT token, doc_id FROM n UNION ALL SELECT token, doc_id FROM p WHERE doc_id NOT IN (SELECT doc_id FROM c)")
 def update_apply(spark, sf_dir):
     """The state after the update."""
-    return indexer.update(*_next_version(spark, sf_dir))
+    docs, new = _versions(spark, sf_dir)
+    return indexer.update(indexer.postings(docs), indexer.postings(new), new)
 
 
 @_query(f"WITH {_P} SELECT token, CASE WHEN doc_id % 2 = 0 AND doc_id + 1 IN (SELECT doc_id FROM documents) THEN doc_id + 1 WHEN doc_id % 2 = 1 THEN doc_id - 1 ELSE doc_id END AS shown_as FROM p")
@@ -258,10 +260,21 @@ def oplog_replay(spark, sf_dir):
     return replay.replay(_oplog(spark, sf_dir))
 
 
-@_query(f"WITH {_O} SELECT seq, CASE WHEN op IN ('add', 'update') THEN 'added' ELSE 'removed' END AS kind, key, CAST(len(tokens) AS BIGINT) AS n_values FROM o")
+@_query(
+    f"""WITH {_O}, m AS (SELECT seq, key, op, unnest(tokens) AS token FROM o WHERE op <> 'remove_all'),
+    -- of each operation the state before it: every token whose last mention put it in, after the last reset
+    l AS (SELECT o.seq, o.key, m.token, max(m.seq) AS put FROM o JOIN m ON m.key = o.key AND m.seq < o.seq GROUP BY ALL),
+    r AS (SELECT o.seq, max(x.seq) AS reset FROM o JOIN o x ON x.key = o.key AND x.seq < o.seq AND x.op IN ('update', 'remove_all') GROUP BY o.seq),
+    s AS (SELECT l.seq, l.token FROM l JOIN o p ON p.seq = l.put LEFT JOIN r ON r.seq = l.seq WHERE p.op <> 'remove' AND l.put >= coalesce(r.reset, -1)),
+    old AS (SELECT o.seq, o.key, o.op, o.tokens, coalesce(list(s.token) FILTER (s.token IS NOT NULL), []) AS was FROM o LEFT JOIN s USING (seq) GROUP BY ALL),
+    e AS (
+      SELECT seq, 'added' AS kind, key, CASE op WHEN 'add' THEN tokens ELSE list_filter(tokens, lambda x: NOT list_contains(was, x)) END AS v FROM old WHERE op IN ('add', 'update')
+      UNION ALL SELECT seq, 'removed', key, CASE op WHEN 'remove' THEN tokens WHEN 'remove_all' THEN was ELSE list_filter(was, lambda x: NOT list_contains(tokens, x)) END FROM old WHERE op <> 'add' AND len(was) > 0)
+    SELECT seq, kind, key, CAST(len(v) AS BIGINT) AS n_values, array_to_string(list_sort(v), '|') AS payload FROM e WHERE len(v) > 0"""
+)
 def event_feed(spark, sf_dir):
-    """The events of the log with payload sizes."""
-    return replay.events(_oplog(spark, sf_dir))
+    """The events of the log with their payloads: a removal tells only of keys that are there."""
+    return replay.events(_oplog(spark, sf_dir)).select("seq", "kind", "key", F.size("values").cast("long").alias("n_values"), F.array_join("values", "|").alias("payload"))
 
 
 @_query(f"WITH {_O}, t AS (SELECT key, max(seq) AS t FROM o WHERE op IN ('update', 'remove_all') GROUP BY key) SELECT seq, o.key, op FROM o LEFT JOIN t USING (key) WHERE t IS NULL OR seq >= t")
@@ -387,6 +400,15 @@ def set_members(spark, sf_dir):
     return docs.select("doc_id", sets.size(sets.add(a, F.lit("zzz"))).cast("long").alias("added"), sets.try_add(a, F.lit("the")).alias("new"), sets.size(sets.remove(a, F.lit("the"))).cast("long").alias("removed"))
 
 
+@_query(f"WITH {_S} SELECT doc_id, CASE WHEN list_contains(a, 'the') THEN CAST(len(a) AS BIGINT) ELSE CAST(len(a) + 1 AS BIGINT) END AS strict, CAST(0 AS BIGINT) AS cleared FROM s")
+def set_strict(spark, sf_dir):
+    """A2, A4: a strict add where the member is new; a cleared set."""
+    docs = _documents(spark, sf_dir).select("doc_id", sets.construct(text_tokens(F.col("text"))).alias("a"))
+    a, the = F.col("a"), F.lit("the")
+    strict = F.when(sets.contains(a, the), a).otherwise(sets.add_strict(a, the))
+    return docs.select("doc_id", sets.size(strict).cast("long").alias("strict"), sets.size(sets.cleared()).cast("long").alias("cleared"))
+
+
 def _relations(spark, sf_dir):
     p = _postings(spark, sf_dir).join(_documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
     return p.filter("lang = 'en'").select("token").distinct(), p.filter("lang = 'fr'").select("token").distinct()
@@ -416,18 +438,67 @@ def relation_except(spark, sf_dir):
 # ---------------------------------------------------------------- the persisted index
 
 
+def _folder(spark, sf_dir) -> str:
+    """The documents as files of one folder, named by doc_id: one line-split text file for each."""
+    import uuid
+
+    from wordtide.cluster import shared_dir
+
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex[:12]}"
+
+    def put(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(root)
+        store.create_dir(at, recursive=True)
+        for b in batches:
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                raw = (text or "").encode("utf-16" if i % 10 == 0 else "utf-8-sig" if i % 10 == 1 else "utf-8")
+                with store.open_output_stream(f"{at}/doc_{i}.{'md' if i % 4 == 3 else 'txt'}") as f:
+                    f.write(raw)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id")], names=["doc_id"])
+
+    _documents(spark, sf_dir).select("doc_id", "text").mapInArrow(put, "doc_id long").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@_query("SELECT doc_id, 'doc_' || doc_id || '.txt' AS name, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 10 > 1")
+def list_files(spark, sf_dir):
+    """The files of a folder under a mask, with their lengths (of the plain UTF-8 ones)."""
+    from wordtide.sources import files
+
+    listed = files.listed(spark, _folder(spark, sf_dir), "*.TXT").withColumn("doc_id", F.regexp_extract("name", r"doc_(\d+)", 1).cast("long"))
+    return listed.filter("doc_id % 10 > 1").select("doc_id", "name", "length")
+
+
+@_query(f"WITH {_P} SELECT doc_id, token FROM p")
+def scan_files(spark, sf_dir):
+    """The tokens of text files in UTF-8, with and without a mark, and UTF-16."""
+    from wordtide.sources import files
+
+    root = _folder(spark, sf_dir)
+    paths = [r.path for r in files.listed(spark, root).select("path").toLocalIterator()]
+    return files.tokens(spark, paths).select(F.regexp_extract("path", r"doc_(\d+)", 1).cast("long").alias("doc_id"), "token")
+
+
+@_query("SELECT source AS key, lang AS value FROM documents WHERE false")
+def dispose(spark, sf_dir):
+    """A disposed multimap holds nothing."""
+    m = multimap.Multimap(spark, _documents(spark, sf_dir).select(F.col("source").alias("key"), F.col("lang").alias("value")).distinct())
+    m.dispose()
+    return m.relation
+
+
 @_query(f"WITH {_P}, {_F} SELECT DISTINCT path_key FROM p JOIN f USING (doc_id) WHERE token = 'the'")
 def store_search(spark, sf_dir):
     """Q1 over the persisted index: one bucket's files, pushed-down token filter, live revisions."""
-    import tempfile
     import uuid
 
+    from wordtide.cluster import shared_dir
     from wordtide.plans.store import Store
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="wordtide-")
-    store = Store(spark, f"{shared.rstrip('/')}/index-{uuid.uuid4().hex[:12]}")
+    store = Store(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}")
     docs = _documents(spark, sf_dir)
     rev = F.concat(F.lit("r"), F.col("doc_id"))
     key = path_key(_path())

@@ -45,26 +45,43 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     def read(fmt: str) -> DataFrame:
         return spark.read.format(fmt).option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(paths)
 
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    marked = {p for p in paths if _utf16(p)}
+    path = F.url_decode(F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"), r"\+", "%2B")).alias("path")
+    marked = _utf16(spark, paths)
     plain = [p for p in paths if p not in marked]
     out = spark.createDataFrame([], "path string, line string")
     if plain:
         paths = plain
-        out = out.unionByName(read("text").select(F.url_decode(F.regexp_replace(path, r"\+", "%2B")).alias("path"), F.col("value").alias("line")))
+        out = out.unionByName(read("text").select(path, F.col("value").alias("line")))
     if marked:
         paths = sorted(marked)
         text = F.regexp_replace(F.decode("content", "UTF-16"), "^\\uFEFF", "")
-        out = out.unionByName(read("binaryFile").select(F.url_decode(F.regexp_replace(path, r"\+", "%2B")).alias("path"), F.explode(F.split(text, r"\r\n|\r|\n")).alias("line")))
+        out = out.unionByName(read("binaryFile").select(path, F.explode(F.split(text, r"\r\n|\r|\n")).alias("line")))
     return out
 
 
-def _utf16(path: str) -> bool:
-    try:
-        with open(path, "rb") as f:
-            return f.read(2) in (b"\xff\xfe", b"\xfe\xff")
-    except OSError:
-        return False
+def _utf16(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Of these files those that begin with a UTF-16 mark; looked at on the executors."""
+
+    def look(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            found = []
+            for p in b.column("path").to_pylist():
+                try:
+                    store, at = (fs.LocalFileSystem(), p) if p.startswith("/") else fs.FileSystem.from_uri(p)
+                    with store.open_input_stream(at) as f:
+                        if f.read(2) in (b"\xff\xfe", b"\xfe\xff"):
+                            found.append(p)
+                except OSError:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
+
+    if not paths:
+        return set()
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return {r.path for r in listed.mapInArrow(look, "path string").toLocalIterator()}
 
 
 def tokens(spark: SparkSession, paths: list[str], tokenizer: Tokenizer = space_tokens) -> DataFrame:
