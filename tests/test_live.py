@@ -8,7 +8,7 @@ from helpers import rows
 
 from wordtide import repl
 from wordtide.functions.text import path_key_of
-from wordtide.plans.store import Store
+from wordtide.plans.store import Conflict, Store
 from wordtide.sources import files, live
 from wordtide.streaming.engine import Engine
 from wordtide.streaming.tasks import TaskQueue, ignore_errors
@@ -38,7 +38,7 @@ def key(p):
 
 
 def test_files(spark, folder):
-    assert [n for _, n, _, _ in files.list_folder(str(folder))] == ["B.TXT", "a.txt", "c.md"]
+    assert [n for _, n, *_ in files.list_folder(str(folder))] == ["B.TXT", "a.txt", "c.md"]
     assert files.list_folder("/no/such/folder") == []
     assert rows(files.listed(spark, str(folder), "*.txt"), "name") == [("B.TXT",), ("a.txt",)]
     (folder / "u16.txt").write_bytes("nine ten\nnine".encode("utf-16"))
@@ -129,6 +129,115 @@ def test_reader_repeats_a_batch(tmp_path, folder):
     r.commit(end)
 
 
+@pytest.fixture
+def running(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "live")).start()
+    yield e
+    e.dispose()
+
+
+def within(seconds, work):
+    """The result of work, which may not take longer."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    return ThreadPoolExecutor(1).submit(work).result(seconds)
+
+
+def test_unsubscribe_under_the_stream(running, folder):
+    running.subscribe(str(folder), "*.txt")
+    running.subscribe(str(folder), "*.md")
+    assert within(60, lambda: running.unsubscribe(str(folder), "*.md")) and key(folder / "c.md") not in running.search("two", wait=True)
+    (folder / "a.txt").write_text("later")
+    assert running.search("later", wait=True) == [key(folder / "a.txt")]
+    assert within(60, lambda: running.unsubscribe(str(folder))) and running.search("later", wait=True) == []
+
+
+@pytest.mark.parametrize("which", ["engine", "running"])
+def test_subscribing_again_indexes_again(request, which, folder):
+    """A mask that overlaps another and was unsubscribed finds its files again, which the listing never lost."""
+    e = request.getfixturevalue(which)
+    e.subscribe(str(folder), "*.txt")
+    e.subscribe(str(folder), "a*")
+    e.unsubscribe(str(folder), "*.txt")
+    assert e.search("one", wait=True) == []
+    assert within(60, lambda: e.subscribe(str(folder), "*.txt")) and e.search("one", wait=True) == [key(folder / "a.txt")]
+
+
+@pytest.mark.parametrize("which", ["engine", "running"])
+def test_renames_on_disk_are_followed(request, which, folder):
+    e = request.getfixturevalue(which)
+    e.subscribe(str(folder), "a.txt")
+    (folder / "a.txt").rename(folder / "z.txt")
+    assert e.search("one", wait=True) == [key(folder / "z.txt")] and e.subscriptions == [f"{key(folder)}/z.txt"]
+    revs = e.store.names().filter("rev IS NOT NULL").select("rev").distinct().count()
+    assert revs == 1  # the content was not read again
+    (folder / "z.txt").write_text("one more")
+    assert e.search("more", wait=True) == [key(folder / "z.txt")]
+    e.subscribe(str(folder), "*.md")
+    (folder / "c.md").rename(folder / "c.rst")  # no mask covers it, none names it
+    assert e.search("two", wait=True) == []
+
+
+def test_many_renames_in_a_row(engine, folder):
+    engine.subscribe(str(folder))
+    (folder / "a.txt").rename(folder / "t")
+    (folder / "c.md").rename(folder / "a.txt")
+    (folder / "t").rename(folder / "c.md")  # exchanged
+    assert engine.search("one", wait=True) == [key(folder / "c.md")]
+    (folder / "c.md").rename(folder / "new.md")
+    (folder / "c.md").write_text("one")
+    assert sorted(engine.search("one", wait=True)) == [key(folder / "c.md"), key(folder / "new.md")]
+
+
+def test_unreadable_files_are_offered_again(engine, folder, monkeypatch):
+    import os
+
+    locked, access = {str(folder / "a.txt"), str(folder / "new.txt")}, os.access
+    engine.subscribe(str(folder))
+    monkeypatch.setattr(os, "access", lambda p, mode: p not in locked and access(p, mode))
+    (folder / "a.txt").write_text("changed text")
+    (folder / "new.txt").write_text("changed too")
+    assert engine.search("changed", wait=True) == [] and engine.search("one") == [key(folder / "a.txt")]  # left as it is
+    locked.clear()
+    assert sorted(engine.search("changed", wait=True)) == [key(folder / "a.txt"), key(folder / "new.txt")] and engine.search("one") == []
+
+
+def test_the_second_of_two_writers_is_told(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), 2)
+    seen = s.version()
+    assert s.publish(s.manifest() | {"seq": 1}, seen) == 1
+    with pytest.raises(Conflict):
+        s.publish(s.manifest() | {"seq": 2}, seen)
+    assert s.manifest()["seq"] == 1
+
+
+def test_vacuum(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), 2)
+    name = lambda p, rev, seq: spark.createDataFrame([(p, p, "F", p, rev, seq, True)], "path_key string, path string, folder_key string, name string, rev string, seq long, live boolean")
+    for i in range(3):
+        s.append(spark.createDataFrame([("x", f"r{i}")], "token string, rev string"), name(f"P{i}", f"r{i}", i), i)
+    s.compact()
+    assert len(s.vacuum()) == 3 + 6 and s.vacuum() == []
+    assert rows(s.search("x")) == [("P0",), ("P1",), ("P2",)] and s.version() == 4
+
+
+def test_two_pausers():
+    q, order = TaskQueue(), []
+
+    def pauser(i):
+        with q.pause():
+            q.queue(f"k{i}", lambda: order.append(i)).result(5)
+            time.sleep(0.05)
+
+    threads = [threading.Thread(target=pauser, args=(i,)) for i in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(10)
+    assert sorted(order) == [0, 1] and not any(t.is_alive() for t in threads)
+    q.dispose()
+
+
 def test_store_versions(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"), 2)
     assert s.version() == 0 and s.search("x").count() == 0

@@ -6,13 +6,15 @@ groups by their bounds.  `names` (path_key, rev, seq, live) are appended too; th
 path says which revision it shows, if any.  So changing, deleting or renaming a document writes a
 few name rows and the new revision's postings, never old ones; `compact` rewrites what is live.
 
-A version is one manifest file listing its segments, written last and under a new name: readers
-see a whole version or the one before, and a job that died leaves only files that no manifest names.
+A version is one manifest file listing its segments, created last and never overwritten: readers see
+a whole version or the one before, of two writers the second is told (`Conflict`), and a job that
+died leaves only files that no manifest names, which `vacuum` deletes.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,10 @@ POSTINGS = "token string, rev string, bucket int"
 NAMES = "path_key string, path string, folder_key string, name string, rev string, seq long, live boolean"
 
 
+class Conflict(RuntimeError):
+    """Another writer was first; read the new version and try again."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -42,21 +48,60 @@ class Store:
             return {"postings": [], "names": [], "seq": 0}
         stream = self._fs.open(self._path(f"{self.root}/manifests/{version:012d}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            raw = bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-
-    def publish(self, manifest: dict) -> int:
-        """Makes a new version visible at once."""
-        version = self.version() + 1
-        temporary = self._path(f"{self.root}/manifests/{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(temporary, True)
+        try:
+            return json.loads(raw)
+        except ValueError:  # still being written
+            return self.manifest(version - 1)
+
+    def publish(self, manifest: dict, after: int | None = None) -> int:
+        """Makes a new version visible at once; raises if another writer has published since `after`.
+
+        The version's file is created without overwriting, which file systems and object stores do
+        as one act; a reader that meets it half written reads the version before.
+        """
+        version = (self.version() if after is None else after) + 1
+        path = self._path(f"{self.root}/manifests/{version:012d}.json")
+        if self._fs.getScheme() == "file":  # a local file system checks and creates in two acts: a hard link is one
+            return self._publish_local(manifest, version, path)
+        try:
+            out = self._fs.create(path, False)
+        except Exception as e:
+            raise Conflict(f"another writer published version {version}") from e
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if not self._fs.rename(temporary, self._path(f"{self.root}/manifests/{version:012d}.json")):
-            raise RuntimeError("another writer published this version")
         return version
 
+    def _publish_local(self, manifest: dict, version: int, path) -> int:
+        local = path.toUri().getPath()
+        temporary = f"{os.path.dirname(local)}/{uuid.uuid4().hex}.tmp"
+        with open(temporary, "w") as f:
+            json.dump(manifest, f)
+        try:
+            os.link(temporary, local)
+        except FileExistsError as e:
+            raise Conflict(f"another writer published version {version}") from e
+        finally:
+            os.remove(temporary)
+        return version
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Deletes manifests but for the last `keep`, and segments that none of those names; returns what went."""
+        last = self.version()
+        found = sorted(int(s.getPath().getName()[:12]) for s in self._fs.listStatus(self._path(f"{self.root}/manifests")) if s.getPath().getName().endswith(".json"))
+        kept = [v for v in found if v > last - keep]
+        need = {f"{kind}/{s}" for v in kept for kind in ("postings", "names") for s in self.manifest(v)[kind]}
+        gone = [f"manifests/{v:012d}.json" for v in found if v not in kept]
+        for kind in ("postings", "names"):
+            folder = self._path(f"{self.root}/{kind}")
+            if self._fs.exists(folder):
+                gone += [f"{kind}/{s.getPath().getName()}" for s in self._fs.listStatus(folder) if f"{kind}/{s.getPath().getName()}" not in need]
+        for g in gone:
+            self._fs.delete(self._path(f"{self.root}/{g}"), True)
+        return gone
+
     # -- reading
 
     def _read(self, kind: str, schema: str, manifest: dict) -> DataFrame:
@@ -104,7 +149,8 @@ class Store:
 
     def append(self, postings: DataFrame | None, names: DataFrame, seq: int) -> int:
         """Adds postings (token, rev) and names (NAMES), and publishes them together."""
-        m = self.manifest()
+        before = self.version()
+        m = self.manifest(before)
         segment = f"s={uuid.uuid4().hex}"
         if postings is not None:
             self._write_postings(postings, segment)
@@ -112,7 +158,7 @@ class Store:
         names.select(*[c.split()[0] for c in NAMES.split(", ")]).write.parquet(f"{self.root}/names/{segment}")
         m["names"].append(segment)
         m["seq"] = seq
-        return self.publish(m)
+        return self.publish(m, before)
 
     def _write_postings(self, postings: DataFrame, segment: str) -> None:
         rows = postings.select("token", "rev", self.bucket(F.col("token")).alias("bucket"))
@@ -121,11 +167,12 @@ class Store:
         rows.write.partitionBy("bucket").parquet(f"{self.root}/postings/{segment}")
 
     def compact(self) -> int:
-        """Rewrites the live part as one segment each."""
-        m = self.manifest()
+        """Rewrites the live part as one segment each; `vacuum` then deletes what it replaces."""
+        before = self.version()
+        m = self.manifest(before)
         names = self.current(self.names(m))
         segment = f"s={uuid.uuid4().hex}"
         live = self.postings(m).join(names.select("rev").distinct(), "rev", "left_semi").select("token", "rev").distinct()
         self._write_postings(live, segment)
         names.write.parquet(f"{self.root}/names/{segment}")
-        return self.publish({"postings": [segment], "names": [segment], "seq": m["seq"]})
+        return self.publish({"postings": [segment], "names": [segment], "seq": m["seq"]}, before)

@@ -13,8 +13,8 @@ from wordtide.functions.text import Tokenizer, matches, path_key, space_tokens
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("length", T.LongType()), T.StructField("mtime", T.LongType())])
 
 
-def list_folder(folder: str) -> list[tuple[str, str, int, int]]:
-    """S4 on the driver: (path, name, length, mtime in ns) of the files directly in a folder; [] on any error."""
+def list_folder(folder: str) -> list[tuple[str, str, int, int, int]]:
+    """S4 on the driver: (path, name, length, mtime in ns, file number) of the files directly in a folder; [] on any error."""
     try:
         with os.scandir(folder) as entries:
             out = []
@@ -22,7 +22,7 @@ def list_folder(folder: str) -> list[tuple[str, str, int, int]]:
                 try:
                     if e.is_file():
                         s = e.stat()
-                        out.append((os.path.join(os.path.abspath(folder), e.name), e.name, s.st_size, s.st_mtime_ns))
+                        out.append((os.path.join(os.path.abspath(folder), e.name), e.name, s.st_size, s.st_mtime_ns, s.st_ino))
                 except OSError:
                     continue
             return sorted(out)

@@ -2,8 +2,10 @@
 
 Spark's own file stream never reads a changed file again and never reports a deletion, so this
 Python data source lists the subscribed folders and emits the difference from the last listing.
-An offset names a listing that is written to the state folder before its changes are emitted;
-a batch that is run again gives the same rows.
+A file of the same number, length and time under another name of its folder is a rename; a mask
+that names the file follows it.  A file that cannot be read keeps what the last listing said of it,
+so it is offered as soon as it can be.  An offset names a listing that is written to the state folder
+before its changes are emitted; a batch that is run again gives the same rows.
 """
 
 from __future__ import annotations
@@ -18,33 +20,58 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from wordtide.functions.text import path_key_of
 from wordtide.sources.files import list_folder
 
-SCHEMA = "seq long, op string, path string, path_key string, folder_key string, name string"
-CREATED, CHANGED, DELETED = "created", "changed", "deleted"
-Listing = dict[str, tuple[str, int, int]]  # path key: (path, length, mtime)
+SCHEMA = "seq long, op string, path string, path_key string, folder_key string, name string, old_path string"
+CREATED, CHANGED, DELETED, RENAMED = "created", "changed", "deleted", "renamed"
+PER_LISTING = 1_000_000_000  # sequence numbers of one listing's changes
+Listing = dict[str, tuple]  # path key: (path, length, mtime, file number)
 
 
-def take(folders: dict[str, list[str]]) -> Listing:
-    """The files that folders and masks cover, now."""
+def take(folders: dict[str, list[str]]) -> tuple[Listing, Listing]:
+    """The files that folders and masks cover, now; and all files of the folders."""
     import re
 
     from wordtide.functions.text import mask_regex
 
-    out: Listing = {}
+    covered: Listing = {}
+    every: Listing = {}
     for folder, masks in folders.items():
         tests = [re.compile(mask_regex(m), re.S) for m in masks]
-        for path, name, length, mtime in list_folder(folder):
+        for path, name, length, mtime, number in list_folder(folder):
+            every[path_key_of(path)] = (path, length, mtime, number)
             if any(t.match(name.lower()) for t in tests):
-                out[path_key_of(path)] = (path, length, mtime)
-    return out
+                covered[path_key_of(path)] = (path, length, mtime, number)
+    return covered, every
 
 
 def changes(old: Listing, new: Listing) -> list[tuple[str, str, str]]:
-    """(op, path key, path): deletions first. A rename is a deletion and a creation."""
+    """(op, path key, path): deletions first. Names alone: a rename is a deletion and a creation."""
     gone = [(DELETED, k, old[k][0]) for k in sorted(old.keys() - new.keys())]
     fresh = [(CREATED, k, new[k][0]) for k in sorted(new.keys() - old.keys())]
     return gone + fresh + [(CHANGED, k, new[k][0]) for k in sorted(old.keys() & new.keys()) if tuple(old[k][1:]) != tuple(new[k][1:])]
 
 
+def follow(old: Listing, covered: Listing, every: Listing, folders: dict[str, list[str]]) -> tuple[Listing, list[tuple[str, str, str, str | None]]]:
+    """The new listing and its changes (op, path key, path, old path), renames first.
+
+    A rename is followed to a name that is covered, or that the mask of the file's own name follows.
+    """
+    new = dict(covered)
+    for k, entry in covered.items():
+        if not os.access(entry[0], os.R_OK):
+            new.pop(k) if k not in old else new.update({k: old[k]})
+    masks = {path_key_of(f): m for f, m in folders.items()}
+    free = {(os.path.dirname(k), *e[1:]): k for k, e in every.items() if k not in old}
+    moved: dict[str, str] = {}
+    for k in sorted(old.keys() - new.keys()):
+        to = free.get((os.path.dirname(k), *old[k][1:]))
+        if to is not None and to not in moved.values() and (to in new or os.path.basename(k).lower() in masks.get(os.path.dirname(k), ())):
+            moved[k] = to
+            new[to] = every[to]
+    found = [(RENAMED, to, new[to][0], old[k][0]) for k, to in moved.items()]
+    found += [(op, k, path, None) for op, k, path in changes(old, new) if not (op == DELETED and k in moved or op == CREATED and k in moved.values())]
+    return new, found
+
+
 class State:
     """Listings by number in a folder, each written once and renamed into place."""
 
@@ -95,8 +122,8 @@ class FolderReader(SimpleDataSourceStreamReader):
         return {"listing": 0}
 
     def _rows(self, n: int) -> Iterator[tuple]:
-        for i, (op, key, path) in enumerate(self.state.load(n)["changes"]):
-            yield (n * 1_000_000_000 + i, op, path, key, path_key_of(os.path.dirname(path)), os.path.basename(path))
+        for i, (op, key, path, before) in enumerate(self.state.load(n)["changes"]):
+            yield (n * PER_LISTING + i, op, path, key, path_key_of(os.path.dirname(path)), os.path.basename(path), before)
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         n = start["listing"]
@@ -106,8 +133,7 @@ class FolderReader(SimpleDataSourceStreamReader):
                 folders = json.load(f)
         except FileNotFoundError:
             folders = {}
-        new = take(folders)
-        found = changes(old, new)
+        new, found = follow(old, *take(folders), folders)
         if not found:
             return iter(()), start
         self.state.save(n + 1, new, found)

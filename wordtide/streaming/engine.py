@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
+import re
 import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordtide.cluster import ship
-from wordtide.functions.text import Tokenizer, path_key_of, space_tokens
+from wordtide.cluster import shared_dir, ship
+from wordtide.functions.text import Tokenizer, mask_regex, matches, path_key_of, space_tokens
 from wordtide.operators.subscriptions import Registry
 from wordtide.plans.store import NAMES, Store
 from wordtide.sources import files, live
@@ -25,13 +25,11 @@ from wordtide.streaming.tasks import TaskQueue
 
 
 def _default_root(spark: SparkSession) -> str:
-    """A folder in the cluster's shared one; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="wordtide-index-")
+    """A folder in the cluster's shared one."""
+    shared = shared_dir(spark)
     if not shared.startswith(("file:", "/")):
         raise ValueError("name a root that driver and executors see as a path: folders are watched through it")
-    return f"{shared.removeprefix('file://').rstrip('/')}/wordtide-index-{uuid.uuid4().hex[:12]}"
+    return f"{shared.removeprefix('file://')}/wordtide-index-{uuid.uuid4().hex[:12]}"
 
 
 class Engine:
@@ -78,48 +76,64 @@ class Engine:
         os.replace(temporary, self._folders)
 
     def apply(self, changes: DataFrame, batch: int) -> None:
-        """E1-E3 of one batch (live.SCHEMA): new revisions of created and changed files, no name for deleted ones."""
+        """E1-E4 of one batch (live.SCHEMA), one listing after another."""
         with self._write:
-            last = changes.groupBy("path_key").agg(F.max_by(F.struct("op", "path", "folder_key", "name", "seq"), "seq").alias("c")).select("path_key", "c.*")
-            rows = [r for r in last.collect() if r.op == live.DELETED or self.registry.covers(os.path.dirname(r.path), r.name)]  # driver metadata: file names of one listing
-            if not rows:
-                return
-            m = self.store.manifest()
-            seq = m["seq"]
-            alive = [r for r in rows if r.op != live.DELETED and os.access(r.path, os.R_OK)]  # unreadable now: left as it is
-            dead = [r for r in rows if r.op == live.DELETED]
-            names, rev_of = [], []
-            for r in alive:
-                seq += 1
-                rev = uuid.uuid4().hex
-                rev_of.append((r.path, rev))
-                names.append((r.path_key, r.path, r.folder_key, r.name, rev, seq, True))
-            for r in dead:
-                seq += 1
-                names.append((r.path_key, r.path, r.folder_key, r.name, None, seq, False))
-                self.registry.file_gone(os.path.dirname(r.path), r.name)
-            postings = None
-            if rev_of:
-                revs = self.spark.createDataFrame(rev_of, "path string, rev string")
-                postings = files.tokens(self.spark, [p for p, _ in rev_of], self.tokenizer).join(F.broadcast(revs), "path").select("token", "rev")
-            if names:
-                self.store.append(postings, self.spark.createDataFrame(names, NAMES), seq)
-            if dead:
-                self._save_folders()
-            if len(self.store.manifest()["postings"]) > self.compact_after:
-                self.store.compact()
+            rows = changes.orderBy("seq").collect()  # driver metadata: file names of the listings
+            for n in dict.fromkeys(r.seq // live.PER_LISTING for r in rows):
+                self._apply([r for r in rows if r.seq // live.PER_LISTING == n])
+
+    def _apply(self, rows: list) -> None:
+        """New revisions of created and changed files, no name for deleted ones, another name for renamed ones."""
+        renamed, known = self._renamed([(r.old_path, r.path) for r in rows if r.op == live.RENAMED])
+        rows = [r for r in rows if (r.op != live.RENAMED or r.path_key not in known) and (r.op == live.DELETED or self.registry.covers(os.path.dirname(r.path), r.name))]
+        seq = max((n[5] for n in renamed), default=self.store.manifest()["seq"])
+        alive = [r for r in rows if r.op != live.DELETED and os.access(r.path, os.R_OK)]
+        dead = [r for r in rows if r.op == live.DELETED]
+        names, rev_of = [], []
+        for r in alive:
+            seq += 1
+            rev = uuid.uuid4().hex
+            rev_of.append((r.path, rev))
+            names.append((r.path_key, r.path, r.folder_key, r.name, rev, seq, True))
+        for r in dead:
+            seq += 1
+            names.append((r.path_key, r.path, r.folder_key, r.name, None, seq, False))
+            self.registry.file_gone(os.path.dirname(r.path), r.name)
+        postings = None
+        if rev_of:
+            revs = self.spark.createDataFrame(rev_of, "path string, rev string")
+            postings = files.tokens(self.spark, [p for p, _ in rev_of], self.tokenizer).join(F.broadcast(revs), "path").select("token", "rev")
+        if renamed or names:
+            self.store.append(postings, self.spark.createDataFrame(renamed + names, NAMES), seq)
+        if dead or renamed:
+            self._save_folders()
+        if len(self.store.manifest()["postings"]) > self.compact_after:
+            self.store.compact()
 
     # -- subscriptions
 
     def subscribe(self, folder: str, mask: str | None = None, wait: bool = True) -> bool:
-        """Whether anything is new. A folder that is missing is ignored; a known mask is not indexed again."""
+        """Whether anything is new. A folder that is missing is ignored; a known mask is not indexed again.
+
+        All files of a new mask are indexed, those too that the listing knows of an earlier mask.
+        """
         if not os.path.isdir(folder):
             return False
         with self._write:
             if not self.registry.add(folder, mask):
                 return False
             self._save_folders()
-        done = self.tasks.queue(path_key_of(folder), self.refresh)
+
+        def index() -> None:
+            self.refresh()
+            with self._write:
+                test = re.compile(mask_regex(mask), re.S)
+                have = {r.path_key for r in self.store.documents().filter(F.col("folder_key") == path_key_of(folder)).select("path_key").toLocalIterator()}
+                missing = [(i, live.CREATED, p, path_key_of(p), path_key_of(folder), name, None) for i, (p, name, *_) in enumerate(files.list_folder(folder)) if test.match(name.lower()) and path_key_of(p) not in have]
+                if missing:
+                    self.apply(self.spark.createDataFrame(missing, live.SCHEMA), -1)
+
+        done = self.tasks.queue(path_key_of(folder), index)
         if wait:
             done.result()
         return True
@@ -131,12 +145,8 @@ class Engine:
             if not gone:
                 return False
             self._save_folders()
-            if self._query is not None:
-                self._query.processAllAvailable()
-            else:
-                self.refresh()
-            from wordtide.functions.text import matches
-
+        self.refresh()  # without the lock: the stream's own thread needs it
+        with self._write:
             m = self.store.manifest()
             names = self.store.current(self.store.names(m)).filter(F.col("folder_key") == path_key_of(folder)).filter(matches(F.col("name"), gone))
             seq = m["seq"] + 1
@@ -148,26 +158,42 @@ class Engine:
         """Q4."""
         return self.registry.listing()
 
-    # -- changes made through the engine
+    # -- renames
 
     def rename(self, old: str, new: str) -> None:
-        """Two names exchange their revisions, contents are not read; a single-file mask follows.
+        """E4 by the caller, ahead of the next listing."""
+        with self._write:
+            names, _ = self._renamed([(old, new)])
+            if names:
+                self.store.append(None, self.spark.createDataFrame(names, NAMES), names[-1][5])
+            self._save_folders()
+
+    def _renamed(self, pairs: list[tuple[str, str]]) -> tuple[list[tuple], set[str]]:
+        """E4, X5 of pairs (old, new): rows of NAMES, and the new path keys that need no reading.
 
-        A new name that no mask covers is not indexed; an old name that nothing took over is gone.
+        Two names exchange their revisions, contents are not read; a single-file mask follows.  A new
+        name that no mask covers is not indexed; an old name that nothing took over is gone.
         """
-        with self._write:
-            m = self.store.manifest()
-            now = {r.path_key: r for r in self.store.current(self.store.names(m)).filter(F.col("path_key").isin(path_key_of(old), path_key_of(new))).collect()}
-            a, b = now.get(path_key_of(old)), now.get(path_key_of(new))
+        if not pairs:
+            return [], set()
+        m = self.store.manifest()
+        keys = sorted({path_key_of(p) for pair in pairs for p in pair})  # driver metadata: names of one listing
+        now = {r.path_key: r.rev for r in self.store.current(self.store.names(m).filter(F.col("path_key").isin(keys))).toLocalIterator()}
+        rows, known, seq = [], set(), m["seq"]
+        for old, new in pairs:
             self.registry.file_renamed(os.path.dirname(old), os.path.basename(old), os.path.basename(new))
-            self._save_folders()
-            rows, seq = [], m["seq"]
-            for path, shown in ((old, b), (new, a)):
-                covered = shown is not None and self.registry.covers(os.path.dirname(path), os.path.basename(path))
+            a, b = now.get(path_key_of(old)), now.get(path_key_of(new))
+            if a is None:
+                if b is not None:
+                    known.add(path_key_of(new))  # the caller told of it before the listing did
+                continue
+            known.add(path_key_of(new))
+            for path, rev in ((old, b), (new, a)):
+                shown = rev if self.registry.covers(os.path.dirname(path), os.path.basename(path)) else None
                 seq += 1
-                rows.append((path_key_of(path), os.path.abspath(path), path_key_of(os.path.dirname(path)), os.path.basename(path), shown.rev if covered else None, seq, covered))
-            if a is not None or b is not None:
-                self.store.append(None, self.spark.createDataFrame(rows, NAMES), seq)
+                now[path_key_of(path)] = shown
+                rows.append((path_key_of(path), os.path.abspath(path), path_key_of(os.path.dirname(path)), os.path.basename(path), shown, seq, shown is not None))
+        return rows, known
 
     # -- search
 

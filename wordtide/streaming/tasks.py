@@ -23,14 +23,13 @@ class TaskQueue:
         self._last: dict[str, Future] = {}
         self._cancel: dict[str, threading.Event] = {}
         self._pending = 0
-        self._paused = 0
-        self._owner: int | None = None
+        self._owners: list[int] = []  # threads that pause, one entry for each pause
 
     def queue(self, key: str, work: Callable[..., object], cancellation_key: str | None = None, with_token: bool = False) -> Future:
         """B1; B2 with_token: work gets an event that is set on cancellation. Waits while paused."""
         done: Future = Future()
         with self._lock:
-            while self._paused and self._owner != threading.get_ident():
+            while self._owners and threading.get_ident() not in self._owners:
                 self._lock.wait()
             token = self._cancel.setdefault(cancellation_key, threading.Event()) if cancellation_key is not None else threading.Event()
             before = self._last.get(key)
@@ -77,16 +76,14 @@ class TaskQueue:
     def pause(self) -> Iterator[None]:
         """Nothing new is queued until the block ends; it begins when all queued work is done."""
         with self._lock:
-            self._paused += 1
-            self._owner = threading.get_ident()
+            self._owners.append(threading.get_ident())
             while self._pending:
                 self._lock.wait()
         try:
             yield
         finally:
             with self._lock:
-                self._paused -= 1
-                self._owner = None if not self._paused else self._owner
+                self._owners.remove(threading.get_ident())
                 self._lock.notify_all()
 
     def dispose(self) -> None:
