@@ -229,6 +229,43 @@ def test_paraphrases_that_keep_half_of_the_words(spark):
     assert all(d % 2 == 0 for d, _ in got)
 
 
+def replaced_fixture(share, seed, n_words):
+    """Documents a quarter of which hold an item of which this share of the words is replaced, but for its answer."""
+    rnd = random.Random(seed)
+    words = ["the", "of", "and", "to", "in"] * (n_words // 15) + ["w" + "".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n_words)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items, docs = [(i, text(rnd.randint(18, 60)) + ". " + text(8)) for i in range(40)], []
+    for i in range(240):
+        body = text(rnd.randint(5, 400)).split()
+        if i % 4 == 0:
+            leak = latent.words_of(items[i // 4 % 40][1])
+            gone = set(rnd.sample(range(len(leak) - 8), min(len(leak) - 8, round(share * len(leak)))))
+            at = rnd.randrange(len(body))
+            body[at:at] = [f"other{i}x{j}" if j in gone else w for j, w in enumerate(leak)]
+        docs.append((i, " ".join(body)))
+    return docs, items
+
+
+@pytest.mark.parametrize("n_words", [1500, 12_000])
+def test_candidates_of_paraphrases_against_all_windows(spark, n_words):
+    """Of what the exact checks find in every window of every document, the latent search finds at least 0.9."""
+    for share in (0.25, 0.35, 0.45):
+        docs, items = replaced_fixture(share, 1000 + n_words + round(100 * share), n_words)
+        df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        find = lambda s: {(r.doc_id, r.item_id) for r in latent.leaks(spark, df, bench, Scratch(spark, "t"), s).collect()}
+        got, every = find(latent.Search()), find(latent.Search(cosine=-2.0, ease=-2.0))
+        assert got <= every and len(got) >= 0.9 * len(every) and len(every) >= 25
+
+
+def test_items_in_blocks_are_found_alike(spark):
+    docs, items, want = leak_fixture(5)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for s in (latent.Search(item_block=7), latent.Search(most_terms=100)):
+        got = {(r.doc_id, r.item_id) for r in latent.leaks(spark, df, bench, Scratch(spark, "t"), s).collect()}
+        assert want <= got
+    assert [len(b) for b, _ in latent._blocks_of(iter([{"text": "a b"}, {"text": "..."}, {"text": "c d e"}, {"text": "c"}]), latent.Search(most_terms=2))] == [1, 1, 1]
+
+
 def test_copies_of_a_passage_take_one_place_in_the_fit(spark):
     counted = spark.createDataFrame([(1, bytearray(b"hot"))] * 50 + [(k, bytearray(b"p%d" % k)) for k in range(2, 6)] + [(None, None)], "key long, passage binary")
     assert sorted(bytes(r.passage) for r in latent._distinct_passages(counted, latent.Search(fit_passages=4)).collect()) == [b"hot", b"p2", b"p3", b"p4"]
@@ -291,3 +328,21 @@ def test_licence_accuracy_on_unseen_variants():
                 right += licences.classify(licences._variant(n, rnd), m)[0] == f
     assert right >= 0.85 * total
     assert sum(licences.classify(n, m)[0] not in ("none", "unknown") for n in licences.PROSE) == 0
+
+
+def test_notices_and_families_that_training_never_saw():
+    """Notices held out of training, each third of a family: most are still a licence, few that of a sibling family. Families held out: hardly another one."""
+    for part in range(3):
+        left = {f: tuple(n for i, n in enumerate(ns) if i % 3 != part) for f, ns in licences.NOTICES.items()}
+        m = licences.train(["plain words of some story"] * 50, licences.Scan(), left)
+        held = [(f, n) for f, ns in licences.NOTICES.items() for i, n in enumerate(ns) if i % 3 == part]
+        got = [(f, licences.classify(n, m)[0]) for f, n in held]
+        assert sum(y != "none" for _, y in got) >= 0.7 * len(got) and sum(y not in (f, "none", "unknown") for f, y in got) <= 0.2 * len(got)
+    for gone in ("boost", "epl", "cc0"):
+        m = licences.train(["plain words of some story"] * 50, licences.Scan(), {f: ns for f, ns in licences.NOTICES.items() if f != gone})
+        assert sum(licences.classify(n, m)[0] not in ("none", "unknown") for n in licences.NOTICES[gone]) <= 1
+
+
+def test_a_model_is_trained_once():
+    a = licences.trained(["one line", "another"])
+    assert licences.trained(["one line", "another"]) is a and licences.trained(["one line"]) is not a

@@ -22,8 +22,7 @@ def test_shards(spark, documents, plan):
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and set(by) <= set(range(16))
     again = shards.slots(*shards.write(documents.repartition(7), Scratch(spark, "t"), plan))
-    if plan.most_bytes > 20_000:  # pieces depend on the order of arrival, buckets do not
-        assert rows(again, "doc_id", "shard", "slot") == rows(out, "doc_id", "shard", "slot")
+    assert rows(again, "doc_id", "shard", "slot") == rows(out, "doc_id", "shard", "slot")
     order = [r.doc_id for r in out.filter("shard = 3").orderBy("slot").collect()]
     assert order != sorted(order)
 
@@ -42,6 +41,36 @@ def test_law_key(spark, sf):
     assert 20_000 / 17 * 0.8 < moved < 20_000 / 17 * 1.2
 
 
+def test_slots_by_hand(spark, documents):
+    """Shard, bucket and slot of every record from Spark's hashes, numpy's shuffle and plain lists."""
+    import numpy as np
+
+    plan = shards.Plan(bucket_bytes=30_000)
+    hashed = documents.select("doc_id", F.xxhash64(*documents.columns).alias("order"), F.octet_length("text").alias("n"), F.array(*(F.xxhash64("doc_id", F.lit(plan.seed), F.lit(k)) for k in range(16))).alias("h"))
+    hashed = hashed.withColumn("again", F.xxhash64("order", F.lit(plan.seed + 1))).collect()
+    shard = {r.doc_id: max(range(16), key=lambda k: (r.h[k], k)) for r in hashed}
+    size = [sum(r.n + 1 for r in hashed if shard[r.doc_id] == k) for k in range(16)]
+    buckets = [max(1, -(-x // plan.bucket_bytes)) for x in size]
+    want, base = {}, 0
+    for k in range(16):
+        slot = 0
+        for j in range(buckets[k]):
+            own = sorted((r.order, r.doc_id) for r in hashed if shard[r.doc_id] == k and r.again % buckets[k] == j)
+            for i in np.random.Generator(np.random.PCG64([plan.seed, base + j, 0])).permutation(len(own)):
+                want[own[i][1]] = (k, slot)
+                slot += 1
+        base += buckets[k]
+    got = shards.slots(*shards.write(documents, Scratch(spark, "t"), plan)).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+
+
+def test_a_hot_key_has_more_buckets(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.repeat(F.col("id").cast("string"), 5).alias("text"))
+    written, names = shards.write(df, Scratch(spark, "t"), shards.Plan(bucket_bytes=2000))
+    largest = written.groupBy("bucket").agg(F.sum(shards.size_of(F.col("text"))).alias("n")).agg(F.max("n")).first()[0]
+    assert largest < 6000 and rows(written, "doc_id", "text") == rows(df)
+
+
 def test_shards_odd_rows(spark, odd, none):
     clash = odd.withColumns({"shard": F.lit("x"), "Pos": F.lit("y"), "bucket": F.lit(None).cast("string"), "order": F.lit(1), "n": F.lit(2), "slot": F.lit(3)})
     written, names = shards.write(clash, Scratch(spark, "t"))

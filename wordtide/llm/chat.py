@@ -11,7 +11,8 @@ state, so a conversation of any length is never held in memory.
 Defined results: null texts are empty; a null role is the role ''; turns are ordered by (turn,
 role, text), nulls first, repeats included; a conversation that the machine refuses is formatted
 all the same and marked with the first turn that is wrong; a null conv_id is a conversation;
-columns other than conv_id, turn, role and text are not read; no rows give no conversations.
+very long texts pass one at a time; columns other than conv_id, turn, role and text are not read; no
+rows give no conversations.
 """
 
 from __future__ import annotations

@@ -1,19 +1,21 @@
 """Licence scans by a trained paragraph classifier.
 
 A paragraph (a line with a word) is described by its sparse word n-grams (one to three words).  A
-multinomial logistic regression, trained here on varied copies of public licence notices and on a
-bounded, hash-chosen sample of the corpus's own paragraphs (`Scan.rows`), tells the licence
-families and `none` apart.  Its probabilities are calibrated by a temperature fitted on held-out
-variants; a paragraph that is likely a licence but of no family likely enough is `unknown`.  A
-family is confirmed if enough of the paragraph's word pairs lie in one of the family's notices or
-enough of a notice lies in the paragraph; what is not confirmed is `unknown` too.
-
-Only paragraphs with a cue word are classified: one that the notices have and distinct ordinary
-paragraphs hardly, or one of an n-gram or notice that is licence enough by itself, however frequent.  One pass, no shuffle; the model
-is a few thousand weights, whatever the corpus.
-
-Defined results: null and empty texts have no paragraphs; repeated rows give repeated findings;
-adjacent paragraphs of one family are one passage; other columns are not read.
+multinomial logistic regression, trained here on varied copies of public licence notices and on the
+paragraphs of a bounded, hash-chosen sample of documents (`Scan.rows`, which is all the corpus that
+training sees), tells the licence families and `none` apart.  Its probabilities are calibrated by a
+temperature fitted on held-out variants; a paragraph that is likely a licence but of no family likely
+enough is `unknown`.  A family is confirmed if enough of the paragraph's word pairs lie in one of the
+family's notices or enough of a notice lies in the paragraph; what is not confirmed is `unknown` too.
+
+Only paragraphs with a cue word are classified: any word of the notices that is no common word of
+English, and at least one of every notice and of every n-gram that is licence enough by itself.
+One pass, no shuffle; the model is a few thousand weights, whatever the corpus, and is kept for the
+next scan of the same sample.
+
+Defined results: null and empty texts have no paragraphs; very long texts and paragraphs are whole
+(about 60 bytes of memory a byte of the longest text); repeated rows give repeated findings; adjacent
+paragraphs of one family are one passage; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,18 +73,24 @@ NOTICES: dict[str, tuple[str, ...]] = {
 OTHERS = ("Licensed under the Foo Public License, version 1.", "Released under the Artistic License.", "Licensed under the SIL Open Font License, Version 1.1.", "Distributed under the zlib license.", "This software is subject to the terms of the Example Vendor License Agreement.", "Licensed under the European Union Public Licence.", "Released under the PostgreSQL License.", "Licensed under the Python Software Foundation License.", "Use is subject to license terms.", "Licensed under the Educational Community License.")
 PROSE = ("He lost his driving license last summer and had to take the bus.", "The committee discussed the copyright law for two hours.", "A fishing license costs ten dollars at the town hall.", "The museum has released a new version of its map under the old title.", "All of the rights and duties of members are listed in the statute.", "The restaurant was granted a license to sell wine.", "Public domain and general welfare were the topics of the debate.", "The terms of the agreement between the two cities remain open.", "The software was distributed to all schools free of charge.", "This work is for any person who wants to copy old paintings.", "Apache helicopters flew over the free city.", "The students of MIT released their results in common with the foundation.")
 
+#: Words that any text uses: no cues, so most lines need no classifier.
+COMMON = frozenset(
+    "the of and to in is it be as at so we he by or on do if me my up an go no us am a i that have for not with you this but his from they say her she will one all would there their what out about who "
+    "get which when make can like time just him know take people into year your good some could them see other than then now look only come its over think also back after use two how our work first well "
+    "way even new want because any these give day most are was were has had been may more such each both either under above below without within made see where here must shall should".split()
+)
+
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
 _HOLDERS = ("Example Corp", "the authors", "Jane Roe", "A. Nonymous and contributors", "The Project Team", "Universität Beispiel")
 
 
 @dataclass(frozen=True)
 class Scan:
-    rows: int = 2_000  # documents of the corpus whose paragraphs teach what is no licence
+    rows: int = 300  # documents of the corpus whose paragraphs teach what is no licence
     variants: int = 40  # of each notice
     family_p: float = 0.6
     licence_p: float = 0.7
     alike: float = 0.6
-    cue_share: float = 0.002  # a cue word is in at most this share of ordinary paragraphs
 
 
 @dataclass
@@ -124,9 +133,22 @@ def _variant(notice: str, rnd: random.Random) -> str:
     return t.upper() if rnd.random() < 0.05 else t
 
 
-def train(ordinary: list[str], scan: Scan = Scan()) -> Model:
+_kept: dict[str, Model] = {}
+
+
+def trained(ordinary: list[str], scan: Scan = Scan()) -> Model:
+    """The model of these paragraphs, trained once in a driver."""
+    key = xxhash.xxh3_128_hexdigest("\0".join([repr(scan), *ordinary]).encode("utf-8", "surrogatepass"))
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = train(ordinary, scan)
+    return _kept[key]
+
+
+def train(ordinary: list[str], scan: Scan = Scan(), notices: dict[str, tuple[str, ...]] | None = None) -> Model:
     """A model from the notices and paragraphs of the corpus (licences among them are taken out by their words)."""
     rnd = random.Random(5)
+    NOTICES = notices or globals()["NOTICES"]
     families = list(NOTICES)
     none, other = len(families), len(families) + 1
     own = {w for ns in NOTICES.values() for n in ns for w in words_of(n)} | {w for n in OTHERS for w in words_of(n)}
@@ -142,11 +164,7 @@ def train(ordinary: list[str], scan: Scan = Scan()) -> Model:
         return any(shared >= scan.alike * min(len(mine), len(t)) for t in every if (shared := len(mine & t)))
 
     plain = [p for p in dict.fromkeys(ordinary) if not speaks(p)]
-    seen: dict[str, int] = {}
-    for p in plain:
-        for w in set(words_of(p)):
-            seen[w] = seen.get(w, 0) + 1
-    cues = {w for w in own if seen.get(w, 0) <= scan.cue_share * max(len(plain), 1) + 1 and len(w) > 2} | spoken
+    cues = {w for w in own if w not in COMMON and len(w) > 2} | spoken
     data: list[tuple[list[str], int]] = []
     for k, f in enumerate(families):
         for n in NOTICES[f]:
@@ -155,8 +173,7 @@ def train(ordinary: list[str], scan: Scan = Scan()) -> Model:
         data += [(grams(words_of(_variant(n, rnd))), other) for _ in range(scan.variants)]
     for n in PROSE:
         data += [(grams(words_of(_variant(n, rnd))), none) for _ in range(scan.variants)]
-    rnd.shuffle(plain)
-    data += [(grams(words_of(p)[:60]), none) for p in plain[:2000]]
+    data += [(grams(words_of(p)), none) for p in plain]
     rnd.shuffle(data)
     held, data = data[: len(data) // 5], data[len(data) // 5 :]
     names: dict[str, int] = {}
@@ -209,11 +226,11 @@ def train(ordinary: list[str], scan: Scan = Scan()) -> Model:
     grid = [0.25 * 1.15**i for i in range(24)]
     loss = [-np.log(np.maximum(soft(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     pairs = {f: [_pairs(words_of(n)) for n in NOTICES[f]] for f in families}
-    # of every n-gram that by itself makes a licence the rarest word is a cue, however frequent; so is that of every notice
+    # of every n-gram that by itself makes a licence a word is a cue, however common; so is one of every notice
     alone = soft((w + b) / grid[int(np.argmin(loss))])[:, none]
     for g in [g.split() for g, i in names.items() if 1 - alone[i] >= scan.licence_p] + [words_of(n) for ns in (*NOTICES.values(), OTHERS) for n in ns]:
         if not cues.intersection(g):
-            cues.add(min(g, key=lambda x: (seen.get(x, 0), x)))
+            cues.add(min(g, key=lambda x: (x in COMMON, -len(x), x)))
     return Model(families, {g: w[i] for g, i in names.items()}, b, grid[int(np.argmin(loss))], frozenset(c.encode() for c in cues), scan, pairs)
 
 
@@ -290,8 +307,8 @@ def scan(spark: SparkSession, docs: DataFrame, settings: Scan = Scan()) -> DataF
     """FOUND: every licence passage of docs (doc_id, text), with the lines it spans (from 0)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = docs.filter("text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows)
-    taught = docs.join(F.broadcast(some.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("p")).distinct().orderBy(F.xxhash64("p"), "p").limit(10 * settings.rows)
-    model = train([r.p for r in taught.toLocalIterator() if r.p.strip()], settings)
+    taught = docs.join(F.broadcast(some.distinct()), "doc_id").select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(settings.rows)
+    model = trained([p for r in taught.toLocalIterator() for p in r.text.split("\n") if p.strip()], settings)
     return docs.mapInArrow(_scan(spark.sparkContext.broadcast(model)), FOUND)
 
 

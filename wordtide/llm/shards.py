@@ -2,15 +2,17 @@
 
 Pass 1 scatters every record into one of many memory-sized buckets: its shard by rendezvous
 hashing of doc_id (so adding a shard moves records only into the new one), its bucket within the
-shard by a seeded hash of the whole record.  A bucket is one task of pass 2, which puts its
-records into the order of their hashes (a shuffle delivers them in any order), applies a seeded
-Fisher-Yates shuffle and writes them.  A task that is run again writes the same order.
+shard by a seeded hash of the whole record; a shard has as many buckets as its own size asks for, so
+a hot key's shard has more.  A bucket is one task of pass 2, which takes its records in the order of
+their hashes, applies a seeded Fisher-Yates shuffle and writes them.  A task that is run again writes
+the same order, and so does another run over the same records.
 
 A slot is the position within the shard: the bucket's place plus the position in the bucket.
 
 Defined results: null texts count as empty; a null doc_id is a key like any other; rows that
 repeat a doc_id share its shard; should one bucket outgrow `most_bytes` (fully equal rows, which
-no hash can part) it is shuffled in pieces of that size; no rows give no shards; other columns are
+no hash can part, or one very long text) it is shuffled in pieces of that size, cut where their
+hashes, which are no order of the records' own, say; no rows give no shards; other columns are
 written along, whatever their names.
 """
 
@@ -59,9 +61,8 @@ def _shuffle(seed: int, most: int, bucket: str, order: str, pos: str):
                 t = pa.Table.from_batches(held).combine_chunks()
                 held.clear()
                 size = 0
-                own = np.argsort(t[order].to_numpy(), kind="stable")
                 rng = np.random.Generator(np.random.PCG64([seed, now, done]))
-                own = own[rng.permutation(len(own))]  # numpy's permutation is the Fisher-Yates shuffle
+                own = rng.permutation(len(t))  # numpy's permutation is the Fisher-Yates shuffle; rows come in the order of their hashes
                 for i in range(0, len(own), 2048):
                     part = t.take(pa.array(own[i : i + 2048])).drop_columns([order]).append_column(pos, pa.array(np.arange(done + i, done + i + len(own[i : i + 2048]), dtype=np.int64)))
                     yield from part.combine_chunks().to_batches()
@@ -88,13 +89,15 @@ def _shuffle(seed: int, most: int, bucket: str, order: str, pos: str):
 def write(docs: DataFrame, scratch: Scratch, plan: Plan = Plan(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """docs in shuffled order, written, with three more columns; their names by role: shard, bucket, pos."""
     names = {role: clear_name(docs, role) for role in ("shard", "bucket", "pos", "order")}
-    total = docs.agg(F.sum(size_of(F.col(text)))).first()[0] or 0
-    per_shard = max(1, -(-total // (plan.shards * plan.bucket_bytes)))
+    sizes = {r.shard: r["size"] for r in docs.groupBy(shard_of(F.col(key), plan.shards, plan.seed).alias("shard")).agg(F.sum(size_of(F.col(text))).alias("size")).collect()}  # a row for each shard
+    buckets = [max(1, -(-sizes.get(s, 0) // plan.bucket_bytes)) for s in range(plan.shards)]
+    first = [sum(buckets[:s]) for s in range(plan.shards)]
     out = docs.withColumn(names["order"], F.xxhash64(*(F.col(c) if not isinstance(t.dataType, (T.MapType, T.VariantType)) else F.to_json(c) for c, t in zip(docs.columns, docs.schema))))
     out = out.withColumn(names["shard"], shard_of(F.col(key), plan.shards, plan.seed))
-    within = F.pmod(F.xxhash64(F.col(names["order"]), F.lit(plan.seed + 1)), F.lit(per_shard))
-    out = out.withColumn(names["bucket"], (F.col(names["shard"]) * F.lit(per_shard) + within).cast("long"))
-    out = out.repartitionById(plan.shards * per_shard, F.col(names["bucket"]).cast("int"))
+    of_shard = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col(names["shard"]) + 1)
+    within = F.pmod(F.xxhash64(F.col(names["order"]), F.lit(plan.seed + 1)), of_shard(buckets))
+    out = out.withColumn(names["bucket"], (of_shard(first) + within).cast("long"))
+    out = out.repartitionById(sum(buckets), F.col(names["bucket"]).cast("int")).sortWithinPartitions(names["bucket"], names["order"])
     schema = T.StructType([f for f in out.schema if f.name != names["order"]] + [T.StructField(names["pos"], T.LongType())])
     return scratch.keep(out.mapInArrow(_shuffle(plan.seed, plan.most_bytes, names["bucket"], names["order"], names["pos"]), schema), "shards"), names
 
