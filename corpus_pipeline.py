@@ -2,6 +2,12 @@
 
 Every stage but the last returns the columns of `documents`; each works on all that the one before
 kept.  A lost executor costs the tasks it ran: what a stage needs of earlier ones is on disk.
+
+Defined results of all stages: null and empty texts fail the quality rules, so later stages see none from
+here, and by themselves keep them (no evidence, no near copy, no leak) or encode them as no pieces; texts
+of any length are taken whole; rows that repeat stay or go together; rows with a null doc_id are judged
+by their text and are nobody's near copy; empty tables give empty tables; other columns stay, whatever
+their names, but for the last stage, which returns doc_id, lang, source and the encoding.
 """
 
 from __future__ import annotations
