@@ -66,6 +66,32 @@ def test_equals_brute_force(spark, join):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect())
 
 
+def test_alike_members_are_not_multiplied(spark, monkeypatch):
+    """A large node of near copies and some that are not near goes to blocks; only nodes that split branch."""
+    rnd = random.Random(12)
+    words = [f"w{rnd.randrange(400)}" for _ in range(150)]
+    docs = [(i, mutated(words, rnd, 1 + i % 12)) for i in range(60)]
+    kept, keep = [], Scratch.keep
+
+    def counted(self, df, name, *rest):
+        out = keep(self, df, name, *rest)
+        if {"node", "sig"} <= set(out.columns):
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    join = Join(leaf=5, depth=1, deepest=6)
+    got = chosen_path.groups(spark, spark.createDataFrame(docs, "doc_id long, text string"), join)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(docs)
+    assert 0 < sum(kept) <= 2 * join.trees * len(docs)
+    rng = np.random.default_rng(3)
+    alike, unlike = np.tile(rng.integers(0, 2**16, chosen_path.SLOTS, dtype=np.uint16), (20, 1)), rng.integers(0, 2**16, (20, chosen_path.SLOTS), dtype=np.uint16)
+    rows_ = [(node, node * 100 + i, node * 100 + i, bytearray(s.tobytes())) for node, sigs in ((1, alike), (2, unlike)) for i, s in enumerate(sigs)]
+    large = spark.createDataFrame(rows_, "node long, rep long, component long, sig binary")
+    split, born = chosen_path._children(large, Scratch(spark, "t"), join)
+    assert rows(split) == [(2,)] and born.count() == 2 * len(rows_)
+
+
 def test_query_equals_its_sql(spark, sf):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")

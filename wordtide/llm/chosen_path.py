@@ -14,8 +14,10 @@ linked if 100 * |A and B| >= 85 * |A or B|, confirmed on the full sets.  How pai
   it are verified and the links contracted to components.  That is linear in the members, so a
   node of a million near copies is no quadratic task.
 * *Small nodes exhaustively.* Only pairs of members in different components can still matter.
-  Nodes of at most `leaf` members compare all of those; larger ones branch on, `branches` children
-  for each member, down to `deepest`; what is still larger there is compared in blocks, all of it.
+  Nodes of at most `leaf` members compare all of those.  A larger one branches, `branches` children
+  for each member, down to `deepest`, as long as its children have fewer pairs than it has itself.
+  If they have not, its members are so alike that each level would only multiply them; such a node,
+  and one that is still large at `deepest`, is compared in blocks, all of it.
 
 Two filters stand before the full sets.  A signature only rules out: a pair at J >= 0.85 that agrees
 in fewer than `agree` of 192 minwise values has probability below 1e-7.  A bitmap of the set (8 to 16
@@ -201,7 +203,7 @@ def _paths(trees: int, depth: int):
 
 
 def _branch(branches: int):
-    """Children of the members of nodes that are still large."""
+    """Children of the members of nodes that are still large; parent: the node they come from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,7 +212,7 @@ def _branch(branches: int):
             sig, node = _signatures(b.column("sig")), b.column("node").to_numpy().view(np.uint64)
             for k in range(branches):
                 child = _step(node, sig, np.zeros((len(sig), SLOTS), bool), k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("rep"), b.column("component"), b.column("n"), b.column("sig")], names=["node", "rep", "component", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("node"), b.column("rep"), b.column("component")], names=["node", "parent", "rep", "component"])
 
     return run
 
@@ -322,6 +324,22 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(live, "node")
 
 
+def _signed(members: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members with n and sig, written; only the signatures of classes that are members somewhere move."""
+    ids = scratch.keep(members.select("rep").distinct(), "signed-ids")
+    out = scratch.keep(members.join(among(signed, ids, "rep", "left_semi"), "rep").select("node", "rep", "component", "n", "sig", "size"), "signed")
+    scratch.drop(ids)
+    return out
+
+
+def _children(large: DataFrame, scratch: Scratch, join: Join) -> tuple[DataFrame, DataFrame]:
+    """(parent nodes whose children have fewer pairs than they have, written; children of all, written without signatures)."""
+    born = scratch.keep(large.select("node", "rep", "component", "sig").mapInArrow(_branch(join.branches), "node long, parent long, rep long, component long"), "born")
+    pairs = lambda n: F.col(n).cast("double") * (F.col(n) - 1)
+    after = born.groupBy("parent", "node").agg(F.count("*").alias("k")).groupBy("parent").agg(F.sum(pairs("k")).alias("pairs"), (F.sum("k") / join.branches).alias("size"))
+    return scratch.keep(after.filter(F.col("pairs") < pairs("size")).select(F.col("parent").alias("node")), "split"), born
+
+
 def _judged(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, component_id, kept) for each row of docs (doc_id, text)."""
     scratch = Scratch(spark, "near")
@@ -337,15 +355,18 @@ def _judged(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     shared = paths.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("least")).filter("size > 1").select("node", "least")
     members = scratch.keep(paths.join(shared, "node"), "members")
 
-    a, b = (signed.select(F.col("rep").alias(k), F.col("n").alias("n" + k), F.col("sig").alias("s" + k)) for k in "ab")
+    met = scratch.keep(members.select("rep").distinct(), "met")
+    some = scratch.keep(among(signed, met, "rep", "left_semi"), "some")  # a class alone in all of its nodes meets nobody
+    a, b = (some.select(F.col("rep").alias(k), F.col("n").alias("n" + k), F.col("sig").alias("s" + k)) for k in "ab")
     stars = members.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct().join(b, "b").join(a, "a")
     stars = scratch.keep(stars.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_promising(join.percent, join.agree), "a long, b long"), "stars")
     links = _verify(docs, reps, stars, scratch, join)
     comps = components(links, scratch)
 
     told = members.select("node", "rep").join(comps, members["rep"] == comps["node"], "left").select(members["node"], "rep", F.coalesce("component", "rep").alias("component"))
-    live = scratch.keep(_mixed(told).join(signed, "rep").select("node", "rep", "component", "n", "sig", "size"), "mixed")
-    made, found = [live], []
+    mixed = scratch.keep(_mixed(told), "mixed-nodes")
+    live = _signed(mixed, some, scratch)
+    made, found = [met, some, mixed, live], []
     for _ in range(join.depth, join.deepest):
         found.append(_pairs(live.filter(F.col("size") <= join.leaf).drop("size"), ["node"], join))
         large = live.filter(F.col("size") > join.leaf)
@@ -353,8 +374,11 @@ def _judged(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
             live = None
             break
         # signatures hold SLOTS tokens, so a node that is still large here has many classes in common slots
-        live = scratch.keep(_mixed(large.select("node", "rep", "component", "n", "sig").mapInArrow(_branch(join.branches), "node long, rep long, component long, n long, sig binary")), "deeper")
-        made.append(live)
+        split, born = _children(large, scratch, join)
+        found.append(_blocks(among(large, split, "node", "left_anti"), join))
+        deeper = scratch.keep(_mixed(among(born.withColumnRenamed("node", "child"), split.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node"), "rep", "component")), "deeper-nodes")
+        live = _signed(deeper, some, scratch)
+        made += [split, born, deeper, live]
     if live is not None:
         found.append(_pairs(live.filter(F.col("size") <= join.leaf).drop("size"), ["node"], join))
         found.append(_blocks(live.filter(F.col("size") > join.leaf), join))
