@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -271,6 +272,34 @@ def test_copies_of_a_passage_take_one_place_in_the_fit(spark):
     assert sorted(bytes(r.passage) for r in latent._distinct_passages(counted, latent.Search(fit_passages=4)).collect()) == [b"hot", b"p2", b"p3", b"p4"]
 
 
+def test_the_fit_takes_every_passage(spark):
+    """The space is that of the whole corpus: against a dense fit of all of more passages than 120,000 / 20 documents had places."""
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(90)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [text(40) for _ in range(6)]
+    docs = [text(rnd.randint(1, 70)) for _ in range(7000)]
+    docs += docs[:500]  # copies take one place
+    own = [latent.words_of(x) for x in items]
+    terms = latent.Terms(sorted({w for x in own for w in x}))
+    s = latent.Search(stop=0.2, corpus_weight=5000)
+    space = latent.fit(spark, spark.createDataFrame([(t,) for t in docs], "text string").repartition(3), terms, own, Scratch(spark, "t"), s)
+    blocks = [w[i : i + s.block] for w in map(str.split, docs) for i in range(0, len(w), s.block)]
+    df = np.zeros(terms.n)
+    for b in blocks:
+        df[[terms.of[w] for w in set(b) if w in terms.of]] += 1
+    assert (space.live[:-1] == (df <= s.stop * len(blocks))).all() and space.live.sum() > 60
+    idf = np.where(space.live[:-1], np.log((len(blocks) + 1) / (df + 1)), 0)
+    count = lambda p: np.bincount([terms.of[w] for w in p if w in terms.of], minlength=terms.n) * idf
+    a = np.array([count(p) for p in {tuple(sorted(w[i : i + 2 * s.block])): 0 for w in map(str.split, dict.fromkeys(docs)) for i in range(0, len(w), 2 * s.block)}])
+    mine = np.array([count(x[i : i + 2 * s.block]) for x in own for i in latent._pieces(x, s)])
+    gram = a.T @ a * min(1, s.corpus_weight / len(a)) + s.item_weight * mine.T @ mine
+    live = space.live[:-1]
+    want = idf[live, None] * np.linalg.inv(gram[np.ix_(live, live)]) * idf[live]
+    got = (space.weights[:-1] @ space.weights[:-1].T)[np.ix_(live, live)]
+    assert len(a) > 7000 and np.abs(got - want).max() <= 2e-3 * np.abs(want).max()
+
+
 def test_without_an_answer_all_words_decide():
     s = latent.Search()
     item = [f"i{k}" for k in range(20)]

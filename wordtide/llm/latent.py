@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. *Counts.* One pass over all documents cuts them into blocks of words and counts, for each term
-   of the benchmark, the blocks that hold it; the same pass keeps the terms of a bounded,
-   hash-chosen sample of passages for the fit (`Search.fit_passages`).
-2. *Space.* A randomised SVD of TF-IDF passages (the sample and the benchmark's own): a Gaussian
-   sketch, a few rounds of orthogonal iteration whose products A'(AQ) are summed by ranges of
-   terms in Spark, and the eigenvectors of the small projected matrix.  Terms in more than `stop`
+   of the benchmark, the blocks that hold it; the same pass writes the terms of each passage (two blocks).
+2. *Space.* A randomised SVD of TF-IDF passages, all different ones of the corpus and the benchmark's
+   own: how often two terms share a passage is counted over all of them, once; a Gaussian sketch, a
+   few rounds of orthogonal iteration whose products A'AQ are summed by tiles of these counts in
+   Spark, and the eigenvectors of the small projected matrix.  The corpus weighs as its passages, but
+   no more than `corpus_weight` of them, so the benchmark's own count as much beside a large one.  Terms in more than `stop`
    of all blocks are left out, but for the `least_telling` rarest of each piece of an item.  Passages and items are compared in the space scaled to unit
    variance; a passage's words outside the benchmark's vocabulary count towards its length.
 3. *Candidates.* Every window of every document (two blocks, one block apart) is embedded and
@@ -22,7 +23,8 @@
 
 Only the benchmark side is broadcast, and bounded: it is taken in blocks of at most `item_block` items
 and `most_terms` different words (a longer item is a block of its own), each with a space of its own
-and a pass over the documents.  The driver holds one block at a time.  Documents are never shuffled.
+and a pass over the documents.  The driver holds one block at a time.  Documents are never shuffled, only
+their passages' terms that have a weight; what the fit keeps of them is bounded by the square of the terms.
 
 Defined results: very long texts are searched whole (about 100 bytes of memory a byte of the longest); null or empty texts and items match nothing; items of fewer than `least_words`
 words are found verbatim only; repeated rows are each reported; an empty benchmark gives no rows;
@@ -51,8 +53,9 @@ class Search:
     rank: int = 256
     extra: int = 8
     rounds: int = 2
-    fit_passages: int = 120_000
-    item_weight: int = 12  # copies of the benchmark's own passages in the fit
+    fit_passages: int | None = None  # a bound of the different passages in the fit, by default none
+    corpus_weight: int = 120_000  # what all passages of the corpus weigh in the fit at most
+    item_weight: int = 12  # what each of the benchmark's own passages weighs there
     stop: float = 0.005
     least_telling: int = 8
     outside: float = 0.5  # what a word outside the vocabulary adds to a passage's squared length, in mean terms
@@ -145,17 +148,15 @@ def _sums(weights: np.ndarray, rows: np.ndarray, group: np.ndarray, groups: int)
     return x
 
 
-def _count(terms_of, s: Search, rate: float):
-    """Rows (feature, n, key, passage): counts of blocks by feature, and passages of the sample."""
+def _count(terms_of, s: Search):
+    """Rows (feature, n, key, passage): counts of blocks by feature, and the features of every passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms: Terms = terms_of()
         counts = np.zeros(terms.n + 1, np.int64)
         total = 0
         schema = pa.schema([("feature", pa.int32()), ("n", pa.int64()), ("key", pa.int64()), ("passage", pa.binary())])
-        limit = np.uint64(min(int(rate * 2**64), 2**64 - 1))
         for b in batches:
-            keys, passages = [], []
             for c in chunks(b.column("text"), s.chunk_bytes):
                 u = c.words(lower=True)
                 if not len(u.hash):
@@ -166,15 +167,10 @@ def _count(terms_of, s: Search, rate: float):
                 known = f < terms.n
                 pair = np.unique(block[known] * np.int64(terms.n + 1) + f[known])
                 counts += np.bincount(pair % (terms.n + 1), minlength=terms.n + 1)
-                # a passage of the sample is two blocks, named by a hash of its words
-                name = mix(np.add.reduceat(u.hash, starts[::2]))
-                at = np.append(starts[::2], len(f))
-                for i in np.flatnonzero(name <= limit).tolist():
-                    p = f[at[i] : at[i + 1]]
-                    keys.append(int(name[i].astype(np.int64)))
-                    passages.append(p[p < terms.n].astype("<i4").tobytes())
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(passages, pa.binary())], schema=schema)
+                # a passage is two blocks of one text, named by a hash of its words
+                starts, passage, _ = _blocks(u, 2 * s.block)
+                name = mix(np.add.reduceat(u.hash, starts))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(name), pa.int32()), pa.nulls(len(name), pa.int64()), pa.array(name.view(np.int64)), _binary(f[known], passage[known], len(name))], schema=schema)
         some = np.flatnonzero(counts)
         f = np.append(some, -1)
         n = np.append(counts[some], total)
@@ -183,29 +179,111 @@ def _count(terms_of, s: Search, rate: float):
     return run
 
 
-RANGE = 1024  # features that are summed together
+def _binary(features: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+    """The features of each row, as bytes."""
+    at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))) * 4
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(at.astype("<i4")), pa.py_buffer(features.astype("<i4"))])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(features, row of each) of passages."""
+    every = column.to_pylist()
+    return np.frombuffer(b"".join(every), "<i4"), np.repeat(np.arange(len(every)), [len(p) // 4 for p in every])
+
+
+def _weighed(shared):
+    """Passages without the features that have no weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = shared.value > 0
+        for b in batches:
+            f, row = _flat(b.column("passage"))
+            yield pa.RecordBatch.from_arrays([b.column("key"), _binary(f[live[f]], row[live[f]], b.num_rows)], names=["key", "passage"])
+
+    return run
+
+
+RANGE = 1024  # features of a side of a tile; what is summed together
+
+
+def _together(shared, most: int = 1 << 22):
+    """Rows (tile, cell, n): how often two features meet in a passage, the lesser one first; tile -1: the passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        n, tiles = np.int64(len(idf)), -(-len(idf) // RANGE)
+        passages, held, codes = 0, 0, []
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            code, k = np.unique(np.concatenate(codes), return_counts=True)
+            i, j = code // n, code % n
+            tile, cell = i // RANGE * tiles + j // RANGE, i % RANGE * RANGE + j % RANGE
+            for x in range(0, len(code), 250_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[x : x + 250_000], kind) for v, kind in ((tile, pa.int32()), (cell, pa.int32()), (k, pa.int64()))], names=["tile", "cell", "n"])
+
+        for b in batches:
+            passages += b.num_rows
+            f, row = _flat(b.column("passage"))
+            keep = idf[f] > 0
+            f, row = f[keep].astype(np.int64), row[keep]
+            codes.append(f * n + f)
+            for d in range(1, int(np.bincount(row).max(initial=1))):
+                same = row[d:] == row[:-d]
+                x, y = f[d:][same], f[:-d][same]
+                codes.append(np.minimum(x, y) * n + np.maximum(x, y))
+                codes.append((x * n + y)[x == y])  # a word that repeats meets itself both ways
+                held += len(codes[-2])
+            held += len(f)
+            if held >= most:
+                yield from counted()
+                held, codes = 0, []
+        if codes:
+            yield from counted()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([passages], pa.int64())], names=["tile", "cell", "n"])
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tile, cells, weights): cells of one tile in a row, of rows (tile, cell, weight) that are sorted by tile."""
+    held: list[pa.RecordBatch] = []
+
+    def packed() -> pa.RecordBatch:
+        tile, cell, weight = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("tile", "cell", "weight"))
+        at = np.append(np.flatnonzero(np.diff(tile, prepend=-1)), len(tile))
+        cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(tile[at[:-1]], pa.int32()), cut(cell, "<i4"), cut(weight, "<f4")], names=["tile", "cells", "weights"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= 1 << 19:
+            yield packed()
+            held = []
+    if any(x.num_rows for x in held):
+        yield packed()
 
 
 def _product(shared):
-    """A'(AQ) of the passages of a partition, a row for each range of features."""
+    """A'AQ of the tiles of a partition, a row for each range of features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, idf = shared.value
-        z = np.zeros(q.shape, np.float32)
+        tiles = -(-len(idf) // RANGE)
+        side = lambda k: slice(k * RANGE, (k + 1) * RANGE)
+        z: dict[int, np.ndarray] = {}
         for b in batches:
-            rows = [p for p in (np.frombuffer(p, "<i4") for p in b.column("passage").to_pylist()) if len(p)]
-            for k in range(0, len(rows), 1024):
-                part = rows[k : k + 1024]
-                f = np.concatenate(part)
-                at = np.cumsum([0] + [len(p) for p in part[:-1]])
-                row = np.repeat(np.arange(len(part)), [len(p) for p in part])
-                x = np.add.reduceat(q[f] * idf[f, None], at, axis=0)
-                order = np.argsort(f, kind="stable")
-                fs = f[order]
-                first = np.flatnonzero(np.diff(fs, prepend=-1))
-                z[fs[first]] += np.add.reduceat(x[row[order]] * idf[fs, None], first, axis=0)
-        parts = range(0, len(z), RANGE)
-        yield pa.RecordBatch.from_arrays([pa.array([i // RANGE for i in parts], pa.int32()), pa.array([z[i : i + RANGE].tobytes() for i in parts], pa.binary())], names=["part", "z"])
+            for tile, cells, weights in zip(*(b.column(k).to_pylist() for k in ("tile", "cells", "weights"))):
+                i, j = divmod(tile, tiles)
+                a = np.zeros(RANGE * RANGE, np.float32)
+                a[np.frombuffer(cells, "<i4")] = np.frombuffer(weights, "<f4")
+                a = a.reshape(RANGE, RANGE)[: len(idf[side(i)]), : len(idf[side(j)])]
+                a = a * idf[side(i), None] * idf[None, side(j)]
+                if i == j:
+                    a = a + np.triu(a, 1).T
+                else:
+                    z[j] = z.get(j, 0) + a.T @ q[side(i)]
+                z[i] = z.get(i, 0) + a @ q[side(j)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(z), pa.int32()), pa.array([x.tobytes() for x in z.values()], pa.binary())], names=["part", "z"])
 
     return run
 
@@ -230,15 +308,13 @@ def _pieces(words: list[str], s: Search) -> range:
 
 def _distinct_passages(counted: DataFrame, s: Search) -> DataFrame:
     """The passages of the fit, each once: the copies of one text take no other's place."""
-    return counted.filter("key IS NOT NULL").select("key", "passage").distinct().orderBy("key", "passage").limit(s.fit_passages).select("passage")
+    every = counted.filter("key IS NOT NULL").select("key", "passage").distinct()
+    return (every if s.fit_passages is None else every.orderBy("key", "passage").limit(s.fit_passages)).select("passage")
 
 
 def fit(spark: SparkSession, docs: DataFrame, terms: Terms, own: list[list[str]], scratch: Scratch, s: Search) -> Space:
     shared_terms = spark.sparkContext.broadcast(terms)
-    rows = docs.count()  # of the footers alone
-    # about 20 passages to a document; the limit below makes the bound exact
-    rate = 1.0 if rows * 20 <= s.fit_passages else s.fit_passages / (rows * 20.0)
-    counted = scratch.keep(docs.select("text").mapInArrow(_count(lambda: shared_terms.value, s, rate), "feature int, n long, key long, passage binary"), "counts")
+    counted = scratch.keep(docs.select("text").mapInArrow(_count(lambda: shared_terms.value, s), "feature int, n long, key long, passage binary"), "counts")
     df = np.zeros(terms.n + 1)
     total = 0
     for r in counted.filter("feature IS NOT NULL").groupBy("feature").agg(F.sum("n").alias("n")).collect():
@@ -253,18 +329,26 @@ def fit(spark: SparkSession, docs: DataFrame, terms: Terms, own: list[list[str]]
             piece = np.unique([terms.of[w] for w in x[i : i + 2 * s.block]])
             common[piece[np.argsort(df[piece], kind="stable")[: s.least_telling]]] = False
     idf[common] = 0
-    chosen = _distinct_passages(counted, s)
+    shared_idf = spark.sparkContext.broadcast(idf)
+    weighed = counted.filter("key IS NOT NULL").select("key", "passage").mapInArrow(_weighed(shared_idf), "key long, passage binary")
+    meet = lambda df: df.mapInArrow(_together(shared_idf), "tile int, cell int, n long").groupBy("tile", "cell").agg(F.sum("n").alias("n"))
+    met = scratch.keep(meet(_distinct_passages(weighed, s)), "together")
+    passages = met.filter("tile < 0").agg(F.sum("n")).first()[0] or 0
     pieces = [np.array([terms.of[w] for w in x[i : i + 2 * s.block]], "<i4").tobytes() for x in own for i in _pieces(x, s)]
-    chosen = chosen.unionByName(spark.createDataFrame([(bytearray(p),) for p in pieces for _ in range(s.item_weight)], "passage binary"))
-    sample = scratch.keep(chosen.repartition(12), "sample")
+    mine = meet(spark.createDataFrame([(bytearray(p),) for p in pieces], "passage binary"))
+    weight = min(1.0, s.corpus_weight / max(passages, 1))
+    both = met.select("tile", "cell", (F.col("n") * weight).alias("weight")).unionByName(mine.select("tile", "cell", (F.col("n") * float(s.item_weight)).alias("weight")))
+    both = both.filter("tile >= 0").groupBy("tile", "cell").agg(F.sum("weight").alias("weight"))
+    tiles = scratch.keep(both.repartition("tile").sortWithinPartitions("tile", "cell").mapInArrow(_packed, "tile int, cells binary, weights binary"), "tiles")
     width = min(s.rank + s.extra, terms.n)
     rng = np.random.Generator(np.random.PCG64(7))
     q = np.linalg.qr(rng.standard_normal((terms.n, width)))[0]
     for step in range(s.rounds + 1):
         shared = spark.sparkContext.broadcast((q.astype(np.float32), idf))
-        got = sample.mapInArrow(_product(shared), "part int, z binary").groupBy("part").applyInArrow(_add, "part int, z binary").toArrow()
-        parts = dict(zip(got["part"].to_pylist(), got["z"].to_pylist()))
-        z = np.frombuffer(b"".join(parts[k] for k in sorted(parts)), np.float32).reshape(terms.n, width).astype(np.float64)
+        got = tiles.mapInArrow(_product(shared), "part int, z binary").groupBy("part").applyInArrow(_add, "part int, z binary").toArrow()
+        z = np.zeros((terms.n, width))
+        for k, x in zip(got["part"].to_pylist(), got["z"].to_pylist()):
+            z[k * RANGE : (k + 1) * RANGE] = np.frombuffer(x, np.float32).reshape(-1, width)
         shared.unpersist()
         if step < s.rounds:
             q = np.linalg.qr(z + 1e-9 * q)[0]
@@ -275,7 +359,7 @@ def fit(spark: SparkSession, docs: DataFrame, terms: Terms, own: list[list[str]]
     weights = np.zeros((terms.n + 1, len(order)), np.float32)
     weights[: terms.n] = v * idf[:, None]
     live = np.append(idf > 0, False)
-    scratch.drop(counted, sample)
+    scratch.drop(counted, met, tiles)
     return Space(terms, weights, live, float((weights[live] ** 2).sum(axis=1).mean()) if live.any() else 1.0)
 
 
