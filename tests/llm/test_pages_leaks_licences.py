@@ -300,6 +300,12 @@ def test_the_fit_takes_every_passage(spark):
     assert len(a) > 7000 and np.abs(got - want).max() <= 2e-3 * np.abs(want).max()
 
 
+def test_no_passage_is_left_out_by_their_number(spark):
+    """The pipeline's search has no bound of passages: of 130,000 different ones all are in the fit."""
+    counted = spark.range(130_000).selectExpr("id AS key", "CAST(CAST(id AS string) AS binary) AS passage")
+    assert latent._distinct_passages(counted.unionByName(counted.limit(50)), latent.Search()).count() == 130_000
+
+
 def test_without_an_answer_all_words_decide():
     s = latent.Search()
     item = [f"i{k}" for k in range(20)]
