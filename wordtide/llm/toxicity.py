@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-1. *Weights.* Over a bounded, hash-chosen sample of labelled rows (`Training.rows`), the uses of a
+1. *Weights.* Over all labelled rows that may teach, the uses of a
    word, or a word beginning, and the documents that hold it are counted, toxic and other ones.
    Log-odds ratios are taken under an informative Dirichlet prior (that of a token is `prior_share` of
    its overall count).  The z-score of the ratio of documents, which one text that repeats a word
@@ -8,7 +8,7 @@
    of its most specific significant feature, less `gap`, and any other word `-gap`, so common words
    that slightly lean one way never add up to a passage.
 2. *Segments.* The Ruzzo-Tompa scan finds all maximal-scoring segments of a document in linear time.
-3. *Calibration*, on a fold of the sample that the weights did not see.  By Karlin-Altschul theory the
+3. *Calibration*, on a fold of these rows that the weights did not see.  By Karlin-Altschul theory the
    segments of a clean text of n words that score S or more are Poisson with the mean E = K * n *
    exp(-lam * S): lam is the root of sum(p * exp(lam * s)) = 1 over clean words, K the least at which
    no score is commoner among clean texts than that.  A passage is significant if its E is below 1.  A document's
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordtide.llm.common import Scratch, clear_name, table
+from wordtide.llm.common import Scratch, among, clear_name, table
 from wordtide.llm.textvec import WordTable, cached, chunks, gather
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -45,7 +45,6 @@ BEGINNINGS = (3, 4, 5, 6)
 
 @dataclass(frozen=True)
 class Training:
-    rows: int = 100_000  # bound on the labelled rows that are used
     held_out_of: int = 5  # rows whose crc32(doc_id as text) is 0 modulo this teach nothing
     fold_of: int = 4  # of the others one in so many calibrates, the rest teach weights
     prior_share: float = 0.05  # weight of the prior: so much of a token's count is added to both sides
@@ -166,14 +165,13 @@ def _found(text: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[int,
 
 
 def _sample(docs: DataFrame, labels: DataFrame, t: Training) -> DataFrame:
-    """(text, toxic, fold) of the labelled rows that may teach; the labels are bounded, hence broadcast."""
-    few = (
+    """(text, toxic, fold) of every labelled row that may teach; labels are broadcast only if they are few."""
+    taught = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), t.held_out_of))
         .groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(t.rows)
     )
     fold = (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(t.fold_of)) == 0).cast("int")
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic", fold.alias("fold"))
+    return among(docs.select("doc_id", "text"), taught, "doc_id", "inner").select("text", "toxic", fold.alias("fold"))
 
 
 COUNTS = "feature string, do long, dt long, uo long, ut long"
@@ -239,7 +237,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, t: Training =
 
         (uses, _), (documents, variance) = ratio("ut", "uo"), ratio("dt", "do")
         told = counted.filter("feature <> ''").select("feature", uses.alias("delta"), (documents / F.sqrt(variance)).alias("z"))
-        # a significant feature is in at least so many documents of a bounded sample: their number is bounded
+        # their number is that of the words and beginnings that tell, not of the labelled rows
         model.weights = {r.feature: r.delta - t.gap for r in told.filter(F.abs("z") >= t.least_z).select("feature", "delta").toLocalIterator()}
         shorter = [f for f, w in model.weights.items() if w > 0 and not f.endswith("$")]
         if shorter:  # what is known and no sign of toxicity still stops the search for a beginning that is one
@@ -269,7 +267,7 @@ def root(weights: np.ndarray, counts: np.ndarray) -> float:
 def _calibrate(spark: SparkSession, sample: DataFrame, model: Model) -> tuple[float, float, float, float]:
     """(lam, K, slope, offset): the law of clean segments, and the logistic curve of the label over log(1 + evidence).
 
-    Of the fold that weights did not see; of the whole sample where that fold lacks one kind of label.
+    Of the fold that weights did not see; of all rows that may teach where that fold lacks one kind of label.
     """
     kinds = {(r.fold, r.toxic): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
     if not all(any(kinds.get((f, y)) for f in (0, 1)) for y in (0, 1)) or not any(w > 0 for w in model.weights.values()):
@@ -278,6 +276,8 @@ def _calibrate(spark: SparkSession, sample: DataFrame, model: Model) -> tuple[fl
         sample = sample.filter("fold = 1")
     sample = sample.select("text", "toxic")
     shared = spark.sparkContext.broadcast(model)
+    top = max(model.weights.values())
+    most = math.floor(100 * top) + 1  # scores above top are only counted, so what comes back is bounded
 
     def law(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(kind, score in hundredths, n): of clean texts how many words (0) and segments (1) score so."""
@@ -289,13 +289,13 @@ def _calibrate(spark: SparkSession, sample: DataFrame, model: Model) -> tuple[fl
                     counts[0, s] = counts.get((0, s), 0) + n
             for _, _, found in _found(clean, m):
                 for s in found:
-                    counts[1, round(100 * s)] = counts.get((1, round(100 * s)), 0) + 1
+                    key = (1, min(round(100 * s), most))
+                    counts[key] = counts.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["kind", "score", "n"])
 
     got = sample.mapInArrow(law, "kind int, score long, n long").groupBy("kind", "score").agg(F.sum("n").alias("n")).collect()
     words = {r.score / 100: r.n for r in got if r.kind == 0}
     found = {r.score / 100: r.n for r in got if r.kind == 1}
-    top = max(model.weights.values())
     words[top] = words.get(top, 0) + 1
     words[-model.gap] = words.get(-model.gap, 0) + 1
     n_words = sum(words.values())
