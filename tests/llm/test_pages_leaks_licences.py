@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -258,6 +259,54 @@ def test_candidates_of_paraphrases_against_all_windows(spark, n_words):
         assert got <= every and len(got) >= 0.9 * len(every) and len(every) >= 25
 
 
+class Looked(frozenset):
+    """Telling features of an item that count how often a region is looked at for them."""
+
+    times = 0
+
+    def intersection(self, *others):
+        Looked.times += 1
+        return super().intersection(*others)
+
+
+@pytest.mark.parametrize("slab", [512, 7])
+def test_few_candidates_are_looked_at_one_by_one(spark, monkeypatch, slab):
+    """The bound of telling words leaves few candidates to look at, and loses none that the checks pass."""
+    monkeypatch.setattr(latent, "SLAB", slab, raising=False)
+    docs, rows_, want = leak_fixture(5)
+    docs, s = docs + [(300, None), (301, ""), (302, rows_[0][1])], latent.Search(cosine=0.05, ease=0.05)
+    rows_ = [{"item_id": i, "text": x} for i, x in rows_]
+    own = [latent.words_of(r["text"]) for r in rows_]
+    terms = latent.Terms(sorted({w for x in own for w in x}))
+    space = latent.fit(spark, spark.createDataFrame(docs, "doc_id long, text string").select("text"), terms, own, Scratch(spark, "t"), s)
+    items = latent._items(rows_, space, s)
+    candidates, best = 0, {}
+    for d, text in docs:
+        w = [latent.normal(x) for x in (text or "").split()]
+        f = np.array([terms.of.get(x, terms.n) for x in w], np.int64)
+        for i in range(0, len(w), s.block):
+            window = f[i : i + 2 * s.block]
+            v = space.weights[window].sum(axis=0)
+            cos = items.vectors @ v / np.sqrt(v @ v + s.outside * space.mean * (window == terms.n).sum() + 1e-12)
+            for q in np.flatnonzero(cos >= items.least):
+                k, candidates = int(items.vector_of[q]), candidates + 1
+                pad = max(s.block, len(items.words[k]))
+                lo, hi = max(0, i - pad), min(len(w), i + 2 * s.block + pad)
+                if 2 * len(items.features[k] & set(f[lo:hi].tolist())) >= len(items.features[k]):
+                    share, kind = latent.check(items.words[k], items.telling[k], items.answers[k], w[lo:hi], s)
+                    if kind and share > best.get((d, k), (0, None))[0]:
+                        best[d, k] = share, kind
+    items.features, Looked.times = [Looked(x) for x in items.features], 0
+
+    class Shared:
+        value = (space, items)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs], pa.string())], names=["doc_id", "text"])
+    got = [r for b in latent._search(Shared, s)(iter([batch])) for r in b.to_pylist()]
+    assert {(r["doc_id"], r["item_id"]): (r["share"], r["kind"]) for r in got} == best and len(got) == len(best) >= 0.9 * len(want)
+    assert len(best) <= Looked.times <= candidates / 8
+
+
 def test_items_in_blocks_are_found_alike(spark):
     docs, items, want = leak_fixture(5)
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

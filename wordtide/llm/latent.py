@@ -14,7 +14,8 @@
    piece, `ease` of what the piece itself would reach amid foreign words.  Windows whose share of
    known words bounds their cosine below that need no comparison.  Items without any telling term
    have no direction; they are found by their first three words.
-4. *Checks.* At least half of the item's telling words must lie around a candidate window.  The
+4. *Checks.* At least half of the item's telling words must lie around a candidate window.  Counts of
+   them by block bound how many do, for all candidates at once; what is left is looked at one by one.  The
    words there and the item's are compared by longest common subsequence.  A share of `verbatim`
    of the item's words is a leak; from `paraphrase` on, of all words and of the telling ones, it
    is one if the telling words of the item's answer (the column `answer`, else its last sentence)
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordtide.llm.common import Scratch, among, table
-from wordtide.llm.textvec import Units, WordTable, cached, chunks, mix, windows3
+from wordtide.llm.textvec import Units, WordTable, cached, chunks, gather, mix, windows3
 
 
 @dataclass(frozen=True)
@@ -128,11 +129,11 @@ def _table(terms: Terms) -> WordTable:
 def _blocks(u: Units, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each block, block of each word, text of each block)."""
     n = u.counts()
-    first = np.concatenate(([0], np.cumsum(n)))[:-1]
-    within = np.arange(len(u.doc)) - first[u.doc]
-    starts = np.flatnonzero(within % size == 0)
-    block = np.cumsum(within % size == 0) - 1
-    return starts, block, u.doc[starts] if len(starts) else np.zeros(0, np.int64)
+    blocks = -(-n // size)
+    text = np.repeat(np.arange(len(n)), blocks)
+    within = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    starts = np.repeat(np.cumsum(n) - n, blocks) + within * size
+    return starts, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(u.doc)))), text
 
 
 def _sums(weights: np.ndarray, rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
@@ -165,8 +166,9 @@ def _count(terms_of, s: Search):
                 starts, block, _ = _blocks(u, s.block)
                 total += len(starts)
                 known = f < terms.n
-                pair = np.unique(block[known] * np.int64(terms.n + 1) + f[known])
-                counts += np.bincount(pair % (terms.n + 1), minlength=terms.n + 1)
+                pair = np.sort(f[known] * np.int64(len(starts)) + block[known])
+                pair = pair[np.diff(pair, prepend=-1) > 0]  # a term counts once in a block
+                counts += np.bincount(pair // len(starts), minlength=terms.n + 1)
                 # a passage is two blocks of one text, named by a hash of its words
                 starts, passage, _ = _blocks(u, 2 * s.block)
                 name = mix(np.add.reduceat(u.hash, starts))
@@ -377,6 +379,38 @@ class Items:
 
     def __post_init__(self) -> None:
         self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.needs = np.array([-(-len(f) // 2) for f in self.features], np.int64)  # telling features that must be around
+
+    def slabs(self, features: int) -> Iterator[Slab]:
+        """Consecutive vectors, SLAB at a time, with their items and where the telling features of those occur."""
+        for k in range(0, len(self.vectors), SLAB):
+            of = self.vector_of[k : k + SLAB]
+            held = [self.features[i] for i in range(of[0], of[-1] + 1)]
+            feature = np.array([f for own in held for f in own], np.int64)
+            item = np.repeat(np.arange(len(held)), [len(own) for own in held])
+            n = np.bincount(feature, minlength=features + 1)
+            start, n, holders = (v.astype(np.int32) for v in (np.cumsum(n) - n, n, item[np.argsort(feature, kind="stable")]))
+            yield Slab(of, self.vectors[k : k + SLAB], self.least[k : k + SLAB], int(of[0]), len(held), start, n, holders)
+
+
+SLAB = 512  # vectors of items that are compared with the windows of a chunk at a time
+
+
+@dataclass
+class Slab:
+    vector_of: np.ndarray
+    vectors: np.ndarray
+    least: np.ndarray
+    first: int  # its first item
+    items: int
+    start: np.ndarray  # of each feature, where its items begin in holders
+    holds: np.ndarray  # of each feature, how many items of the slab it is telling in
+    holders: np.ndarray
+
+    def met(self, features: np.ndarray, block: np.ndarray, blocks: int) -> np.ndarray:
+        """At item * blocks + b: how many words are telling ones of items before it, or of it before block b."""
+        which = np.repeat(block, self.holds[features]) + gather(self.holders, self.start[features], self.holds[features]) * np.int64(blocks)
+        return np.concatenate(([0], np.cumsum(np.bincount(which, minlength=blocks * self.items))))
 
 
 def _items(rows: list, space: Space, s: Search) -> Items:
@@ -426,6 +460,7 @@ def _search(shared, s: Search):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, items = shared.value
         weights = space.weights
+        slabs = list(items.slabs(space.terms.n))
         for b in batches:
             doc_ids = b.column("doc_id")
             out: list[tuple] = []
@@ -451,11 +486,18 @@ def _search(shared, s: Search):
                 end = np.cumsum(counts)
                 best: dict[tuple[int, int], tuple] = {}
 
-                def look(item: np.ndarray, word: np.ndarray, cos: np.ndarray) -> None:
+                def look(item: np.ndarray, word: np.ndarray, cos: np.ndarray, slab: Slab | None = None) -> None:
                     t, pad = u.doc[word], np.maximum(s.block, items.lengths[item])
                     lo, hi = np.maximum(end[t] - counts[t], word - pad), np.minimum(end[t], word + 2 * s.block + pad)
+                    if slab is not None and len(item):
+                        # the blocks around hold no fewer telling words, repeats among them, than the region has different ones
+                        met, own = slab.met(fk, block[known], len(starts)), (item - slab.first) * len(starts)
+                        left = np.flatnonzero(met[own + block[hi - 1] + 1] - met[own + block[lo]] >= items.needs[item])
+                        # a window that several pieces of an item meet is looked at once
+                        left = left[np.sort(np.unique(own[left] + block[word[left]], return_index=True)[1])]
+                        item, word, cos, t, lo, hi = (v[left] for v in (item, word, cos, t, lo, hi))
                     a, b = np.searchsorted(known, lo), np.searchsorted(known, hi)
-                    telling = fk.tolist()
+                    telling = fk.tolist() if len(item) else []
                     for i, (k, x, y) in enumerate(zip(item.tolist(), a.tolist(), b.tolist())):
                         own = items.features[k]
                         if 2 * len(own.intersection(telling[x:y])) >= len(own):
@@ -467,10 +509,10 @@ def _search(shared, s: Search):
                     if kind and ((t, item) not in best or share > best[t, item][3]):
                         best[t, item] = (items.ids[item], word - int(end[t] - counts[t]), cos, share, kind)
 
-                for k in range(0, len(items.vectors), 4096):
-                    cos = x @ items.vectors[k : k + 4096].T
-                    w, q = np.nonzero(cos >= items.least[k : k + 4096])
-                    look(items.vector_of[k + q], starts[may[w]], cos[w, q])
+                for slab in slabs:
+                    cos = x @ slab.vectors.T
+                    w, q = np.divmod(np.flatnonzero(cos >= slab.least), len(slab.vectors))
+                    look(slab.vector_of[q], starts[may[w]], cos[w, q], slab)
                 if items.anchors:
                     at, h = windows3(u)
                     i = np.flatnonzero(np.isin(h, np.array(list(items.anchors), np.uint64)))
