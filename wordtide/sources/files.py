@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordtide.cluster import ship
 from wordtide.functions.text import Tokenizer, matches, path_key, space_tokens
 
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("length", T.LongType()), T.StructField("mtime", T.LongType())])
 
+_ROWS = 20_000
+
+
+def _local(path: str) -> str | None:
+    """The plain path of a local file, of one with the scheme file too; None on other file systems."""
+    path = re.sub("^file:/+", "/", path)
+    return None if re.match(r"[A-Za-z][\w+.-]*://", path) else os.path.abspath(path)
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's readers leave out: names that begin with . or _ (but for x=y), unfinished copies."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
 
 def list_folder(folder: str) -> list[tuple[str, str, int, int, int]]:
     """S4 on the driver: (path, name, length, mtime in ns, file number) of the files directly in a folder; [] on any error."""
@@ -31,10 +46,39 @@ def list_folder(folder: str) -> list[tuple[str, str, int, int, int]]:
 
 
 def listed(spark: SparkSession, folder: str, mask: str | None = None) -> DataFrame:
-    """FILES of a folder. Spark's own listing, for folders on any file system; not recursive."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)  # content is not read
-    path = F.regexp_replace("path", "^file:/+", "/")
-    rows = found.select(path.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.unix_micros("modificationTime").alias("mtime"))
+    """FILES of a folder, empty ones too; not recursive. A local folder (or one mounted on all machines) is listed by
+    one task that holds a batch of names; on other file systems Spark lists it, on the driver. Hidden names are left out."""
+    local = _local(folder)
+    if local is None:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)  # content is not read
+        found = found.coalesce(spark.sparkContext.defaultParallelism)  # else a task for a few files each
+        rows = found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.unix_micros("modificationTime").alias("mtime"))
+    else:
+
+        def look(batches):
+            import pyarrow as pa
+
+            for _ in batches:
+                pass
+            out = []
+            with os.scandir(local) as entries:
+                for e in entries:
+                    try:
+                        if _hidden(e.name) or not e.is_file():
+                            continue
+                        e.name.encode()
+                        s = e.stat()
+                    except (OSError, UnicodeEncodeError):  # gone meanwhile; no name that a string can hold
+                        continue
+                    out.append((os.path.join(local, e.name), e.name, s.st_size, s.st_mtime_ns // 1_000_000 * 1000))
+                    if len(out) == _ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=FILES.names)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=FILES.names)
+
+        ship(spark)
+        rows = spark.range(0, 1, 1, 1).mapInArrow(look, FILES)
     return rows.filter(matches(F.col("name"), [mask]))
 
 
