@@ -477,9 +477,7 @@ def scan_files(spark, sf_dir):
     """The tokens of text files in UTF-8, with and without a mark, and UTF-16."""
     from wordtide.sources import files
 
-    root = _folder(spark, sf_dir)
-    paths = [r.path for r in files.listed(spark, root).select("path").toLocalIterator()]
-    return files.tokens(spark, paths).select(F.regexp_extract("path", r"doc_(\d+)", 1).cast("long").alias("doc_id"), "token")
+    return files.tokens(spark, files.listed(spark, _folder(spark, sf_dir))).select(F.regexp_extract("path", r"doc_(\d+)", 1).cast("long").alias("doc_id"), "token")
 
 
 @_query("SELECT source AS key, lang AS value FROM documents WHERE false")
